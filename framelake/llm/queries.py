@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.pii import pii_digest, scan_pii
+from framelake.llm.secrets import scan_secrets, secrets_digest
 from framelake.llm.shared import table
 from framelake.llm.simhash import simhash_groups
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(scan_pii(table(spark, sf_dir, "documents")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
+    "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,
 }
 
