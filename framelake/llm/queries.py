@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
-from framelake.llm.shared import table
+from framelake.llm.shared import id_crc, table
 from framelake.llm.simhash import simhash_groups
 
 
+def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc(F.col("doc_id")) % 10 == 0
+    return score(docs, train(docs.where(~held_out)), extra={"held_out": held_out})
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(scan_pii(table(spark, sf_dir, "documents")))
 
@@ -27,6 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram": op1_ngram,
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,

