@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm import mixing, preference
 from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
@@ -20,6 +21,10 @@ def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.where(~held_out)), extra={"held_out": held_out})
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(scan_pii(table(spark, sf_dir, "documents")))
 
@@ -33,11 +38,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = preference.conversations_as_arrays(table(spark, sf_dir, "conversations"))
+    return preference.format_preferences(preference.pair_by_first_turn(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram": op1_ngram,
+    "op2_mixing": op2_mixing,
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,
+    "op10_preference": op10_preference,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op10_preference": preference.ORACLE,
+}
