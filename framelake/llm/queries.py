@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, preference
+from framelake.llm import mixing, preference, toxicity
 from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
@@ -25,6 +25,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc(F.col("doc_id")) % 4 == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=~held_out)
+    scored = toxicity.with_scores(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(scan_pii(table(spark, sf_dir, "documents")))
 
@@ -46,6 +54,7 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram": op1_ngram,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,
