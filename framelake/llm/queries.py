@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, preference, toxicity
+from framelake.llm import decontaminate, mixing, preference, toxicity
 from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
@@ -37,6 +37,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(scan_pii(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,
     "op10_preference": op10_preference,
