@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, mixing, preference, toxicity
+from framelake.llm import decontaminate, lines, mixing, preference, toxicity
 from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
@@ -45,6 +45,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_preference": op10_preference,
 }
