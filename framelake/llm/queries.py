@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, lines, mixing, preference, toxicity
+from framelake.llm.multiindex import near_vectors
 from framelake.llm.ngram import score, train
 from framelake.llm.pii import pii_digest, scan_pii
 from framelake.llm.secrets import scan_secrets, secrets_digest
@@ -45,6 +46,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op7_embeddings": op7_embeddings,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_preference": op10_preference,
