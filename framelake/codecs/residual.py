@@ -1,4 +1,4 @@
-"""Byte-residual pictures (generation 6): zero-run wrapper, block modes, motion map."""
+"""Byte-residual pictures (generations 3 to 6): zero-run wrapper, block modes, motion map."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from framelake.codecs.transform import planes, split_planes
 
 # Payload marks.
 WRAPPED, BLOCKS, MOTION_MAP = b"ZP06", b"GBP6", b"GPM6"
+GROUPED, GROUPED_RUNS, CHUNKED = b"GBP3", b"GBP4", b"GBP5"
 BLOCK, CHUNK, CELL = 64, 256, 32
 
 
@@ -94,8 +95,13 @@ def _block(codes: np.ndarray) -> tuple[int, bytes]:
     for i, k in enumerate(min(max(k0 + d, 0), 5) for d in (-1, 0, 1)):
         ways.append(((int((codes >> k).sum()) + 64 * (1 + k) + 7) // 8, 2 + i, 10 + k))
     mode = min(ways)[2]
+    return mode, _stored(codes, mode)
+
+
+def _stored(codes: np.ndarray, mode: int) -> bytes:
+    """The codes of a block in a mode."""
     if mode == 9:
-        return mode, np.packbits(codes != 0, bitorder="little").tobytes() + codes[codes != 0].astype(np.uint8).tobytes()
+        return np.packbits(codes != 0, bitorder="little").tobytes() + codes[codes != 0].astype(np.uint8).tobytes()
     bits = BitWriter()
     for c in codes.tolist():
         if mode < 9:
@@ -103,13 +109,16 @@ def _block(codes: np.ndarray) -> tuple[int, bytes]:
         else:
             bits.zeros(c >> mode - 10)
             bits.put(c & (1 << mode - 10) - 1, mode - 10)
-    return mode, bits.bytes()
+    return bits.bytes()
 
 
 def unpack_blocks(data: bytes) -> bytes:
+    """Residual bytes of chunked blocks; the older of the two forms has no Rice modes."""
     cursor = Bytes(data)
-    if cursor.take(4) != BLOCKS or cursor.uint(2) != BLOCK or cursor.uint(2):
+    mark = cursor.take(4)
+    if mark not in (BLOCKS, CHUNKED) or cursor.uint(2) != BLOCK or cursor.uint(2):
         raise Malformed("bad block head")
+    most = 15 if mark == BLOCKS else 9
     size, n, per, zero = cursor.uint(4), cursor.uint(4), cursor.uint(2), cursor.uint(2)
     if n != -(-size // BLOCK) or per != CHUNK or zero:
         raise Malformed("bad block head")
@@ -118,7 +127,7 @@ def unpack_blocks(data: bytes) -> bytes:
         count, described, payload, flags = cursor.uint(2), cursor.uint(2), cursor.uint(4), cursor.u8()
         if any(cursor.take(3)) or flags > 3 or count != min(CHUNK, n - len(rows)):
             raise Malformed("bad chunk head")
-        modes = _modes(Bytes(cursor.take(described)), count, flags & 1)
+        modes = _modes(Bytes(cursor.take(described)), count, flags & 1, most)
         body = Bytes(cursor.take(payload))
         for mode in modes:
             z = _unblock(body, mode)
@@ -129,14 +138,51 @@ def unpack_blocks(data: bytes) -> bytes:
     return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.uint8).tobytes()[:size]
 
 
-def _modes(cursor: Bytes, count: int, folded: int) -> list[int]:
+def unpack_grouped(data: bytes) -> bytes:
+    """Residual bytes of the two oldest forms: blocks of one width together, widths rising, sparse blocks last."""
+    cursor = Bytes(data)
+    mark = cursor.take(4)
+    if mark not in (GROUPED, GROUPED_RUNS) or cursor.uint(2) != BLOCK:
+        raise Malformed("bad block head")
+    flags, size, n = cursor.uint(2), cursor.uint(4), cursor.uint(4)
+    if n != -(-size // BLOCK) or flags > (3 if mark == GROUPED_RUNS else 0):
+        raise Malformed("bad block head")
+    described = cursor.uint(4) if mark == GROUPED_RUNS else (n + 1) // 2
+    modes = np.array(_modes(Bytes(cursor.take(described)), n, flags & 1, 9), np.int64)
+    codes = np.zeros((n, BLOCK), np.int64)
+    for mode in range(1, 10):
+        for i in np.flatnonzero(modes == mode):
+            codes[i] = _unblock(cursor, mode)
+    cursor.done()
+    v = np.where(codes % 2, -((codes + 1) // 2), codes // 2).ravel()[:size]
+    return ((np.cumsum(v) if flags & 2 else v) % 256).astype(np.uint8).tobytes()
+
+
+def pack_grouped(data: bytes, runs: bool = True, delta: bool = False) -> bytes:
+    """The inverse of unpack_grouped, in the form with (or without) folded modes."""
+    n = -(-len(data) // BLOCK)
+    v = np.frombuffer(data, np.uint8).astype(np.int64)
+    v = np.diff(v, prepend=0) if delta and runs else v
+    codes = _codes(np.concatenate([v, np.zeros(-len(v) % BLOCK, np.int64)]).reshape(n, BLOCK))
+    modes, bodies = [], {}
+    for i, c in enumerate(codes):
+        width, nonzero = int(c.max()).bit_length(), int((c != 0).sum())
+        mode = 9 if width and 8 + nonzero < 8 * width else width
+        modes.append(mode)
+        bodies.setdefault(mode, bytearray()).extend(_stored(c, mode))
+    raw = bytes(m | (modes[i + 1] << 4 if i + 1 < n else 0) for i, m in enumerate(modes) if i % 2 == 0)
+    head = (GROUPED_RUNS if runs else GROUPED) + BLOCK.to_bytes(2, "little") + (2 if delta and runs else 0).to_bytes(2, "little") + len(data).to_bytes(4, "little") + n.to_bytes(4, "little")
+    return head + (len(raw).to_bytes(4, "little") if runs else b"") + raw + b"".join(bytes(bodies[m]) for m in sorted(bodies) if m)
+
+
+def _modes(cursor: Bytes, count: int, folded: int, most: int = 15) -> list[int]:
     out = []
     while cursor.at < cursor.end:
         b = cursor.u8()
         out += [b] * (cursor.u8() + 1) if folded else [b & 15, b >> 4]
     if not folded and len(out) == count + 1 and not out[-1]:
         out.pop()
-    if len(out) != count or max(out, default=0) > 15:
+    if len(out) != count or max(out, default=0) > most:
         raise Malformed("bad block modes")
     return out
 
@@ -162,11 +208,15 @@ def _unblock(body: Bytes, mode: int) -> np.ndarray:
     return out
 
 
-def decode(data: bytes, width: int, height: int, previous: bytes | None, key: bool) -> bytes:
-    """The picture of a payload of generation 6."""
+def _rest(data: bytes) -> bytes:
+    return unpack_grouped(data) if data[:4] in (GROUPED, GROUPED_RUNS) else unpack_blocks(data)
+
+
+def decode(data: bytes, width: int, height: int, previous: bytes | None, key: bool, shift: tuple[int, int] = (0, 0)) -> bytes:
+    """The picture of a payload of generations 3 to 6; ``shift`` is the whole picture's motion where the record has one."""
     data = unwrap(data)
     if key:
-        rest, out = unpack_blocks(data), []
+        rest, out = _rest(data), []
         if len(rest) != width * height * 3 // 2:
             raise Malformed("size doesn't fit the picture")
         for plane in split_planes(rest, width, height):
@@ -175,7 +225,7 @@ def decode(data: bytes, width: int, height: int, previous: bytes | None, key: bo
     if previous is None:
         raise Malformed("predicted picture without one before it")
     nx, ny = -(-width // CELL), -(-height // CELL)
-    vectors = np.zeros((ny * nx, 2), np.int64)
+    vectors = np.tile(np.array(shift, np.int64), (ny * nx, 1))
     if data[:4] == MOTION_MAP:
         cursor = Bytes(data, 4)
         size, flags, gw, gh, motion, rest = (cursor.uint(k) for k in (2, 2, 2, 2, 4, 4))
@@ -183,7 +233,7 @@ def decode(data: bytes, width: int, height: int, previous: bytes | None, key: bo
             raise Malformed("bad motion head")
         vectors, data = _motion(cursor.take(motion), nx * ny, flags), cursor.take(rest)
         cursor.done()
-    rest = unpack_blocks(data)
+    rest = _rest(data)
     if len(rest) != width * height * 3 // 2:
         raise Malformed("size doesn't fit the picture")
     vectors, out = vectors.reshape(ny, nx, 2), []

@@ -14,6 +14,7 @@ from framelake.operators.blocks import SCAN, sign_matrix
 
 # Payload marks, by generation of predicted pictures; key pictures always have the first.
 INTRA, INTER, INTER_BITS = b"GTC7", b"GTP8", b"GBP9"
+INTER_PLAIN, INTER_DC, INTER_RUNS = b"GTP9", b"GCP9", b"GZP9"
 # Quantizer base by quality.
 BASE = [(96, 1), (88, 2), (82, 3), (79, 4), (75, 5), (70, 7), (62, 9)]
 CHUNK, LEVEL_BOUND, MOTION = 256, 1 << 20, 16
@@ -232,8 +233,11 @@ def decode_inter(data: bytes, width: int, height: int, previous: bytes | None) -
     """The picture of a predicted payload of generation 8 or 9."""
     if previous is None:
         raise Malformed("predicted picture without one before it")
-    mark, expected, n = data[:4], width * height * 3 // 2, block_count(width, height)
-    if mark not in (INTER, INTER_BITS):
+    expected, n = width * height * 3 // 2, block_count(width, height)
+    if data[:4] == INTER_RUNS:
+        data = unfolded(data, expected)
+    mark = data[:4]
+    if mark not in (INTER, INTER_PLAIN, INTER_BITS, INTER_DC):
         raise Malformed("unknown payload mark")
     cursor, quality = _head(data, mark, MOTION, expected, n)
     nx, ny = -(-width // 16), -(-height // 16)
@@ -257,7 +261,9 @@ def decode_inter(data: bytes, width: int, height: int, previous: bytes | None) -
     skipped = BitReader(cursor.take((n + 7) // 8))
     coded = [i for i in range(n) if not skipped.get(1)]
     levels = np.zeros((n, 64), np.int64)
-    if mark == INTER:
+    if mark == INTER_DC:
+        _dc_blocks(cursor, levels, set(coded), width, height)
+    elif mark != INTER_BITS:
         for i in coded:
             last = cursor.u8()
             if last > 63:
@@ -283,6 +289,75 @@ def decode_inter(data: bytes, width: int, height: int, previous: bytes | None) -
     return joined(out)
 
 
+def unfolded(data: bytes, expected: int) -> bytes:
+    """A payload whose repeated bytes were folded: runs of three or more, and literals."""
+    cursor = Bytes(data, 4)
+    size, out = cursor.uint(4), bytearray(INTER)
+    if not 24 <= size <= expected * 4 + 65536:
+        raise Malformed("bad unfolded size")
+    while cursor.at < cursor.end:
+        token = cursor.u8()
+        out += cursor.take(1) * ((token & 127) + 3) if token > 127 else cursor.take(token + 1)
+        if len(out) > size:
+            raise Malformed("more than the size says")
+    if len(out) != size:
+        raise Malformed("less than the size says")
+    return bytes(out)
+
+
+def folded(payload: bytes) -> bytes:
+    """A payload of generation 8 with its repeated bytes folded."""
+    out, at, start = bytearray(), 4, 4
+
+    def literals(end: int) -> None:
+        for a in range(start, end, 128):
+            part = payload[a : min(end, a + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    while at < len(payload):
+        end = at
+        while end < len(payload) and payload[end] == payload[at] and end - at < 130:
+            end += 1
+        if end - at >= 3:
+            literals(at)
+            out.extend((128 | end - at - 3, payload[at]))
+            start = end
+        at = end
+    literals(len(payload))
+    return INTER_RUNS + len(payload).to_bytes(4, "little") + bytes(out)
+
+
+def _dc_blocks(cursor: Bytes, levels: np.ndarray, coded: set[int], width: int, height: int) -> None:
+    """Levels of blocks whose first one is told by its difference from the median of the
+    blocks to the left, above, and above left."""
+    at = 0
+    for w, h in planes(width, height):
+        nx, ny = grid(w, h)
+        first = np.zeros((ny + 1, nx + 1), np.int64)
+        for i in range(nx * ny):
+            if at + i not in coded:
+                continue
+            x, y = i % nx, i // nx
+            head = cursor.u8()
+            last, kind = head & 63, head >> 6
+            guess = median(int(first[y + 1, x]), int(first[y, x + 1]), int(first[y, x]))
+            value = (0, guess, guess, guess)[kind]
+            if kind == 2:
+                value += cursor.u8() - 64
+            elif kind == 3:
+                value += unzigzag(cursor.varint())
+            first[y + 1, x + 1] = levels[at + i, 0] = value
+            place = 1
+            while place <= last:
+                run, z = _token(cursor)
+                if not 0 < z <= LEVEL_BOUND or run > last - place:
+                    raise Malformed("bad run or level")
+                levels[at + i, _scan[place + run]] = unzigzag(z)
+                place += run + 1
+        at += nx * ny
+
+
 def _token(cursor: Bytes) -> tuple[int, int]:
     token = cursor.u8()
     if token >= 128:
@@ -292,6 +367,11 @@ def _token(cursor: Bytes) -> tuple[int, int]:
     return cursor.varint(), cursor.varint()
 
 
+def _token_code(run: int, level: int) -> bytes:
+    z = zigzag(level)
+    return bytes([128 | run << 4 | z - 1]) if run < 8 and z <= 16 else b"\0" + varint(run) + varint(z)
+
+
 def _bit_pair(bits: BitReader) -> tuple[int, int]:
     run = bits.zeros(7)
     run = bits.get(6) if run == 7 else run
@@ -310,7 +390,7 @@ def _bit_code(writer: BitWriter, last: int, tokens: list[tuple[int, int]]) -> No
         writer.put(*((z, 32) if z >> 2 > 30 else (z & 3, 2)))
 
 
-def encode_inter(picture: bytes, width: int, height: int, quality: int, previous: bytes, vectors: np.ndarray | None = None, bit_coded: bool = True) -> tuple[bytes, bytes]:
+def encode_inter(picture: bytes, width: int, height: int, quality: int, previous: bytes, vectors: np.ndarray | None = None, bit_coded: bool = True, dc_coded: bool = False) -> tuple[bytes, bytes]:
     """(payload, picture as it will be decoded) with the vectors given, or chosen by choose_vectors."""
     nx, ny, n = -(-width // 16), -(-height // 16), block_count(width, height)
     vectors = choose_vectors(picture, previous, width, height) if vectors is None else np.asarray(vectors, np.int64).reshape(ny, nx, 2)
@@ -331,7 +411,27 @@ def encode_inter(picture: bytes, width: int, height: int, quality: int, previous
     for last, _ in coded:
         skipped.put(last < 0, 1)
     body = bytearray()
-    if bit_coded:
+    if dc_coded:
+        bit_coded = False
+        at = 0
+        for w, h in planes(width, height):
+            bx, by = grid(w, h)
+            first = np.zeros((by + 1, bx + 1), np.int64)
+            for i in range(bx * by):
+                last, tokens = coded[at + i]
+                if last < 0:
+                    continue
+                x, y = i % bx, i // bx
+                value = int(levels[at + i, 0])
+                delta = value - median(int(first[y + 1, x]), int(first[y, x + 1]), int(first[y, x]))
+                first[y + 1, x + 1] = value
+                kind = 0 if not value else 1 if not delta else 2 if -64 <= delta <= 63 else 3
+                body.append(last | kind << 6)
+                body += bytes([delta + 64]) if kind == 2 else varint(zigzag(delta)) if kind == 3 else b""
+                for k, (run, level) in enumerate(tokens[1:] if value else tokens):
+                    body += _token_code(run if value or k else run - 1, level)
+            at += bx * by
+    elif bit_coded:
         chunks = []
         for a in range(0, n, CHUNK):
             writer = BitWriter()
@@ -345,10 +445,9 @@ def encode_inter(picture: bytes, width: int, height: int, quality: int, previous
             if last >= 0:
                 body.append(last)
                 for run, level in tokens:
-                    z = zigzag(level)
-                    body += bytes([128 | run << 4 | z - 1]) if run < 8 and z <= 16 else b"\0" + varint(run) + varint(z)
+                    body += _token_code(run, level)
     reach = int(np.abs(vectors).max(initial=0))
-    head = (INTER_BITS if bit_coded else INTER) + bytes([MOTION, quality, reach, 0])
+    head = (INTER_DC if dc_coded else INTER_BITS if bit_coded else INTER) + bytes([MOTION, quality, reach, 0])
     head += b"".join(v.to_bytes(4, "little") for v in (width * height * 3 // 2, n, nx * ny, len(motion)))
     return head + bytes(motion) + skipped.bytes() + bytes(body), joined(out)
 

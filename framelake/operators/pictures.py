@@ -20,7 +20,7 @@ from framelake.codecs.bits import Malformed
 DECODED = "path string, frame_no long, pts_us long, frame_type int, codec int, picture binary, crc_ok boolean, error string"
 
 
-def decode_one(payload: bytes, codec: int, kind: int, width: int, height: int, previous: bytes | None) -> bytes:
+def decode_one(payload: bytes, codec: int, kind: int, width: int, height: int, previous: bytes | None, meta: int = 0) -> bytes:
     """The picture of one frame record: 0 key, 1 predicted, 2 repeat."""
     if kind == 2:
         if previous is None:
@@ -28,8 +28,9 @@ def decode_one(payload: bytes, codec: int, kind: int, width: int, height: int, p
         return previous
     if kind == 1 and previous is None:
         raise Malformed("predicted picture without one before it")
-    if codec == 6:
-        return residual.decode(payload, width, height, previous, kind == 0)
+    if 3 <= codec <= 6:
+        shift = tuple((v & 255 ^ 128) - 128 for v in (meta, meta >> 8))
+        return residual.decode(payload, width, height, previous, kind == 0, shift)
     if codec in (7, 8, 9):
         if kind == 0 or codec == 7:
             return transform.decode_intra(payload, width, height, previous if kind else None)
@@ -56,7 +57,7 @@ def decode(frames: DataFrame, headers: DataFrame, strict: bool = False) -> DataF
                 error, picture = broken, None
                 if not broken:
                     try:
-                        picture = decode_one(r["payload"], r["codec"], r["frame_type"], r["width"], r["height"], previous)
+                        picture = decode_one(r["payload"], r["codec"], r["frame_type"], r["width"], r["height"], previous, r["meta"] or 0)
                     except Malformed as e:
                         if strict:
                             raise

@@ -4,7 +4,8 @@
 
 * ``header``: one row per file; ``index``: its frame index; ``records``: frame records without payload
   (the payloads are skipped over, not read); ``frames``: frame records with payload; ``audio``: the
-  audio record; ``scan``: records found from the start, without the index, for repair.
+  audio record; ``scan``: records found from the start, without the index, for repair; ``stream``: frames of an
+encoder's raw stream (options ``fps_num`` and ``fps_den``).
 
 ``frames`` and ``records`` push a filter on frame_no down to the groups of pictures that can
 hold it. ``mode`` is ``failfast`` or ``permissive`` (a bad file or record is a row with ``error``).
@@ -31,6 +32,8 @@ RECORD = struct.Struct("<4sIQBBHIII")
 INDEX_HEAD, INDEX_ENTRY = struct.Struct("<4sI"), struct.Struct("<QB7x")
 AUDIO_RECORD = struct.Struct("<4sIQQ")
 AUDIO_HEADER = struct.Struct("<4sBBH4sIHHIIQQQ12s")
+STREAM_HEAD, STREAM_RECORD = struct.Struct("<4sIIII"), struct.Struct("<BbbBIII")
+STREAM_MARKS = {b"GHS6": 6, b"GHS7": 7, b"GHS8": 8, b"GHS9": 9}
 FILE_MARK, OLD_MARK, RECORD_MARK, AUDIO_MARK, INDEX_MARK = b"GHV1", b"GVID", b"VFRM", b"AUD0", b"INDX"
 AUDIO_FILE_MARK, AUDIO_CODEC = b"GHAF", b"GHA1"
 LARGEST_PAYLOAD = 512 << 20
@@ -45,7 +48,7 @@ SCHEMAS = {
     "frames": "path string, frame_no long, pts_us long, frame_type int, codec int, meta int, raw_size long, packed_size long, crc32 long, offset long, payload binary, error string",
     "audio": "path string, codec long, samples long, payload binary, error string",
 }
-SCHEMAS["scan"] = SCHEMAS["records"]
+SCHEMAS["scan"], SCHEMAS["stream"] = SCHEMAS["records"], SCHEMAS["frames"]
 
 
 def parse_header(data: bytes) -> dict:
@@ -111,6 +114,26 @@ def scan_records(f, h: dict, size: int) -> Iterator[tuple]:
         at += RECORD.size + row[6]
 
 
+def stream_records(f, size: int, fps: tuple[int, int]) -> Iterator[tuple]:
+    """Frame records, with payload, of an encoder's raw stream, which has no index and no times."""
+    head = f.read(STREAM_HEAD.size)
+    if len(head) < STREAM_HEAD.size or head[:4] not in STREAM_MARKS:
+        raise Malformed("no raw stream")
+    mark, version, width, height, raw = STREAM_HEAD.unpack(head)
+    if version != STREAM_MARKS[mark] or raw != width * height * 3 // 2:
+        raise Malformed("bad raw stream head")
+    n = 0
+    while record := f.read(STREAM_RECORD.size):
+        at = f.tell() - len(record)
+        if len(record) < STREAM_RECORD.size:
+            raise Malformed("truncated record")
+        kind, dx, dy, _, raw, packed, crc = STREAM_RECORD.unpack(record)
+        if kind > 2 or packed > LARGEST_PAYLOAD or f.tell() + packed > size:
+            raise Malformed(f"bad record at {at}")
+        yield n, n * fps[1] * 1_000_000 // fps[0], kind, version, dx & 255 | (dy & 255) << 8, raw, packed, crc, at, f.read(packed)
+        n += 1
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -131,6 +154,7 @@ class Reader(DataSourceReader):
         self.table, self.path = options.get("table", "frames"), options["path"]
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
         self.low, self.high = 0, 1 << 62
+        self.fps = int(options.get("fps_num", 30)), int(options.get("fps_den", 1))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for x in filters:
@@ -178,6 +202,9 @@ class Reader(DataSourceReader):
                     for at in part.offsets:
                         yield (path, *read_record(f, at, size, self.table == "frames"), None)
                     return
+                if self.table == "stream":
+                    yield from ((path, *row, None) for row in stream_records(f, size, self.fps))
+                    return
                 h = parse_header(f.read(HEADER.size))
                 if self.table == "header":
                     yield (path, *(h[x] for x in FIELDS), size, None)
@@ -285,3 +312,14 @@ def parse_audio_header(data: bytes) -> dict:
     if h["channels"] not in (1, 2) or h["bits"] not in (6, 8) or not 8 <= h["block"] <= 1024 or h["blocks"] != -(-h["frames"] // h["block"]):
         raise Malformed("bad audio parameters")
     return h
+
+
+def write_wav(path: str, rate: int, pcm) -> None:
+    """(frames, channels) 16-bit samples as a WAV file."""
+    import wave
+
+    with wave.open(path, "wb") as f:
+        f.setnchannels(pcm.shape[1])
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(pcm.astype("<i2").tobytes())

@@ -71,6 +71,35 @@ def test_transform_round_trips(quality):
             transform.decode_inter(p, W, H, None)
 
 
+def test_first_level_prediction_and_folding():
+    seen = transform.encode_intra(picture(1), W, H, 78)[1]
+    for quality in (40, 97):
+        plain, moved = transform.encode_inter(picture(2), W, H, quality, seen, bit_coded=False)
+        dc, again = transform.encode_inter(picture(2), W, H, quality, seen, dc_coded=True)
+        assert again == moved and dc[:4] == b"GCP9"
+        for payload in (dc, transform.folded(plain), b"GTP9" + plain[4:]):
+            assert transform.decode_inter(payload, W, H, seen) == moved
+            with pytest.raises(Malformed):
+                transform.decode_inter(payload[:-1], W, H, seen)
+
+
+def test_oldest_residual_forms():
+    a, b = picture(1), picture(2)
+    for runs in (False, True):
+        for delta in (False, True):
+            assert residual.unpack_grouped(residual.pack_grouped(a, runs, delta)) == a
+    moved = residual.decode(residual.pack_grouped(bytes(len(a))), W, H, a, False, (3, -2))
+    y, x = np.mgrid[0:H, 0:W]
+    luma = np.frombuffer(a, np.uint8, W * H).reshape(H, W)
+    assert moved[: W * H] == luma[np.clip(y + 2, 0, H - 1), np.clip(x - 3, 0, W - 1)].tobytes()
+    rest = ((np.frombuffer(b, np.uint8).astype(int) - np.frombuffer(moved, np.uint8)) % 256).astype(np.uint8).tobytes()
+    for payload in (residual.pack_grouped(rest, False), residual.pack_grouped(rest, True, True)):
+        assert residual.decode(payload, W, H, a, False, (3, -2)) == b
+    # by hand: one block of width 1 whose first and last codes are 1 (so -1)
+    hand = b"GBP3" + bytes([64, 0, 0, 0, 64, 0, 0, 0, 1, 0, 0, 0, 1]) + bytes([1, 0, 0, 0, 0, 0, 0, 128])
+    assert residual.unpack_grouped(hand) == bytes([255]) + bytes(62) + bytes([255])
+
+
 def test_motion_is_followed():
     a = picture(1, 64, 64)
     luma = np.frombuffer(a, np.uint8, 64 * 64).reshape(64, 64)

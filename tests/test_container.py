@@ -85,6 +85,18 @@ def test_broken_files(spark, clip, tmp_path):
     assert [r["record_offset"] for r in again] == [r["offset"] for r in scan]
 
 
+def test_raw_stream(spark, clip, tmp_path):
+    frames = container.read(spark, clip).orderBy("frame_no").collect()
+    out = container.STREAM_HEAD.pack(b"GHS9", 9, W, H, W * H * 3 // 2)
+    for r in frames:
+        out += container.STREAM_RECORD.pack(r["frame_type"], 0, 0, 0, r["raw_size"], len(r["payload"]), r["crc32"]) + r["payload"]
+    (tmp_path / "raw").write_bytes(out)
+    got = container.read(spark, str(tmp_path / "raw"), "stream").orderBy("frame_no").collect()
+    assert [(r["frame_no"], r["pts_us"], r["payload"]) for r in got] == [(r["frame_no"], r["pts_us"], r["payload"]) for r in frames]
+    (tmp_path / "cut").write_bytes(out[:-3])
+    assert container.read(spark, str(tmp_path / "cut"), "stream", "permissive").where("error is not null").count() == 1
+
+
 def test_audio_file():
     pcm = (8000 * np.sin(np.arange(500) / 8)).astype(np.int16)[:, None]
     data = container.pack_audio_file(sound.encode_blocks(pcm), 48000, 1, 8, 500)
