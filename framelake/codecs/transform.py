@@ -10,13 +10,12 @@ from __future__ import annotations
 import numpy as np
 
 from framelake.codecs.bits import BitReader, BitWriter, Bytes, Malformed, unzigzag, varint, zigzag
+from framelake.functions.exprs import transform_steps
 from framelake.operators.blocks import SCAN, sign_matrix
 
 # Payload marks, by generation of predicted pictures; key pictures always have the first.
 INTRA, INTER, INTER_BITS = b"GTC7", b"GTP8", b"GBP9"
 INTER_PLAIN, INTER_DC, INTER_RUNS = b"GTP9", b"GCP9", b"GZP9"
-# Quantizer base by quality.
-BASE = [(96, 1), (88, 2), (82, 3), (79, 4), (75, 5), (70, 7), (62, 9)]
 CHUNK, LEVEL_BOUND, MOTION = 256, 1 << 20, 16
 
 _signs = sign_matrix().astype(np.float64)
@@ -36,10 +35,7 @@ def block_count(width: int, height: int) -> int:
 
 
 def steps(quality: int, plane: int) -> np.ndarray:
-    base = next((b for least, b in BASE if quality >= least), 13)
-    freq = np.add.outer(np.arange(8), np.arange(8))
-    step = (base * 8 * (16 + 2 * freq + 4 * (freq >= 8)) + 8) // 16
-    return np.maximum(1, (step * 5 + 2) // 4 if plane else step).ravel()
+    return np.array(transform_steps(quality, plane > 0))
 
 
 def div_round(v: np.ndarray, d) -> np.ndarray:

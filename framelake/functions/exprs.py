@@ -124,6 +124,17 @@ def transform_step(q, u, v, chroma=False) -> Column:
     return F.greatest(F.lit(1).cast("long"), step)
 
 
+def transform_steps(quality: int, chroma: bool = False) -> list[int]:
+    """The 64 steps of one quality, by coefficient place v * 8 + u."""
+    base = next((b for least, b in TRANSFORM_BASE[0] if quality >= least), TRANSFORM_BASE[1])
+    out = []
+    for v in range(8):
+        for u in range(8):
+            step = (base * 8 * (16 + 2 * (u + v) + 4 * (u + v >= 8)) + 8) // 16
+            out.append(max(1, (step * 5 + 2) // 4 if chroma else step))
+    return out
+
+
 def median3(a, b, c) -> Column:
     a, b, c = col(a), col(b), col(c)
     return a + b + c - F.least(a, b, c) - F.greatest(a, b, c)

@@ -74,11 +74,6 @@ def inverse(df: DataFrame, coeffs: str = "coeffs", target: str = "restored") ->
     return _mapped(df, coeffs, target, back)
 
 
-def steps(quality: Column | str, chroma: bool = False) -> Column:
-    """The 64 quantizer steps of a quality, by coefficient place."""
-    return F.array(*[E.transform_step(quality, u, v, chroma) for v in range(8) for u in range(8)])
-
-
 def quantized(coeffs: Column | str, step: Column | str) -> Column:
     return F.zip_with(coeffs, step, lambda c, s: E.div_round(c, s))
 
@@ -127,5 +122,7 @@ def coded_bits(tokens: Column | str) -> Column:
     return F.when(F.size(tokens) == 0, F.lit(0).cast("long")).otherwise(6 + total(each))
 
 
-def with_qualities(df: DataFrame, qualities: tuple[int, ...]) -> DataFrame:
-    return df.withColumn("quality", F.explode(F.array(*map(F.lit, qualities))))
+def with_qualities(df: DataFrame, qualities: tuple[int, ...], chroma: bool = False) -> DataFrame:
+    """``df`` once per quality, with quality and step, its 64 quantizer steps as a constant."""
+    each = [F.struct(F.lit(q).alias("quality"), F.array(*[F.lit(s).cast("long") for s in E.transform_steps(q, chroma)]).alias("step")) for q in qualities]
+    return df.withColumn("__q", F.explode(F.array(*each))).select("*", "__q.quality", "__q.step").drop("__q")

@@ -41,15 +41,17 @@ def with_modes(df: DataFrame, code: str = "codes", rice: bool = False) -> DataFr
     width, nz = F.col("width"), F.col("nonzero")
     ways = [F.struct((8 * width).cast("long").alias("bytes"), F.lit(0).alias("ord"), width.alias("mode"))]
     ways.append(F.struct((8 + nz).cast("long").alias("bytes"), F.lit(1).alias("ord"), F.lit(9).alias("mode")))
+    # one step per projection, so that nothing is computed again for each use
+    names = df.columns
     if rice:
-        mean = F.least(E.idiv(F.col("code_sum") + 32, 64), F.lit(255).cast("long"))
-        k0 = E.clamp(E.bit_width(mean) - 2, 0, 5)
-        for i, dk in enumerate((-1, 0, 1)):
-            k = E.clamp(k0 + dk, 0, 5)
-            ways.append(F.struct(rice_bytes(F.col(code), k).alias("bytes"), F.lit(2 + i).alias("ord"), (10 + k).alias("mode")))
-    best = F.array_min(F.array(*ways))
-    zero = width == 0
-    return df.withColumns({"mode": F.when(zero, 0).otherwise(best["mode"]), "mode_bytes": F.when(zero, 0).otherwise(best["bytes"]).cast("long")})
+        df = df.withColumn("__mean", F.least(E.idiv(F.col("code_sum") + 32, 64), F.lit(255).cast("long")))
+        df = df.withColumn("__k", E.clamp(E.bit_width("__mean") - 2, 0, 5))
+        df = df.withColumns({f"__k{i}": E.clamp(F.col("__k") + d, 0, 5) for i, d in enumerate((-1, 0, 1))})
+        df = df.withColumns({f"__r{i}": F.when(width > 0, rice_bytes(F.col(code), F.col(f"__k{i}"))) for i in range(3)})
+        ways += [F.struct(F.col(f"__r{i}").alias("bytes"), F.lit(2 + i).alias("ord"), (10 + F.col(f"__k{i}")).alias("mode")) for i in range(3)]
+    df = df.withColumn("__best", F.array_min(F.array(*ways)))
+    zero, best = width == 0, F.col("__best")
+    return df.select(*names, F.when(zero, 0).otherwise(best["mode"]).alias("mode"), F.when(zero, 0).otherwise(best["bytes"]).cast("long").alias("mode_bytes"))
 
 
 def choose_smallest(df: DataFrame, key: list[str], size: Column, order: Column, value: Column) -> DataFrame:

@@ -18,7 +18,7 @@ HOUR = 3_600_000_000
 
 def _levels(spark: SparkSession, sf_dir: str, qualities=QUALITIES) -> DataFrame:
     """(stream, vec_id, samples, quality, step, levels)"""
-    df = blocks.with_qualities(blocks.forward(A.vec_blocks(spark, sf_dir)), qualities).withColumn("step", blocks.steps("quality"))
+    df = blocks.with_qualities(blocks.forward(A.vec_blocks(spark, sf_dir)), qualities)
     return df.withColumn("levels", blocks.quantized("coeffs", "step"))
 
 
