@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from framelake.llm.shared import written
 
 BUCKETS = 1024
+RESULTS = ("size", "source_size", "target", "taken", "epochs")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,7 +72,8 @@ def mix_sources(
     The document at which a budget ends is taken in part, so a source's words meet its
     target to the word. A null text has size 0; a null source is a source; a null id draws as the empty text.
     Rows of one id draw one number and are told apart by their size and text; equal rows
-    are interchangeable. An empty table gives an empty table.
+    are interchangeable. An empty table gives an empty table. A kept column that bears the name of a
+    result comes back as doc_<name>.
     """
     size = word_count(text) if size is None else size
     quality = quality_weight(text) if quality is None else quality
@@ -97,7 +99,7 @@ def mix_sources(
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - start))
     taken = F.col("epochs") * F.col("size") + part
     drawn = base.join(starts, ["skey", "bucket"]).withColumn("taken", taken.cast("long"))
-    out = [F.col(f"kept.`{c}`").alias(c) for c in keep if c not in (id_col, source)]
+    out = [F.col(f"kept.`{c}`").alias(f"doc_{c}" if c in RESULTS else c) for c in keep if c not in (id_col, source)]
     return drawn.select(F.col("__id").alias(id_col), F.col("__source").alias(source), *out, "size", "source_size", "target", "taken", "epochs")
 
 

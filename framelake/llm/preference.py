@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+RESULTS = ("n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
 
 def conversations_as_arrays(turns: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     The longest common turn prefix is the prompt, rendered once; what follows in each is its
     completion, with the spans to train on. Equal conversations leave two empty
-    completions. A missing (null) rejected side: the last turn is the completion, the rest
+    completions. Another column that bears the name of a result comes back as pair_<name>. A missing (null) rejected side: the last turn is the completion, the rest
     the prompt, and rejected and its mask are null. A null chosen side gives nulls.
     """
     a, b = F.col(f"`{chosen}`"), F.col(f"`{rejected}`")
@@ -67,7 +68,7 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     df = pairs.withColumn("__n", F.when(a.isNotNull(), n))
     after = lambda x: F.slice(x, F.col("__n") + 1, F.greatest(F.size(x) - F.col("__n"), F.lit(0)))
     return df.select(
-        *[F.col(f"`{c}`") for c in rest], F.col("__n").alias("n_prompt_turns"),
+        *[F.col(f"`{c}`").alias(f"pair_{c}" if c in RESULTS else c) for c in rest], F.col("__n").alias("n_prompt_turns"),
         F.when(a.isNotNull(), render(F.slice(a, F.lit(1), F.col("__n")))).alias("prompt"),
         F.when(a.isNotNull(), render(after(a))).alias("chosen"), mask(after(a)).alias("chosen_mask"),
         F.when(b.isNotNull(), render(after(b))).alias("rejected"), mask(after(b)).alias("rejected_mask"),

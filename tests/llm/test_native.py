@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import mixing, preference
 from framelake.llm.queries import ORACLES, QUERIES
@@ -37,6 +38,8 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
     kept = mixing.mix_sources(df, keep=("doc_id", "text"))
     assert kept.columns[:3] == ["doc_id", "source", "text"] and kept.count() == len(rows)
+    clash = mixing.mix_sources(df, keep=("taken", "text"))
+    assert clash.columns == ["doc_id", "source", "doc_taken", "text", *mixing.RESULTS] and clash.first()["doc_taken"] == "t"
 
 
 def test_quality_raises_the_chance(spark):
@@ -66,3 +69,5 @@ def test_preference_by_hand(spark):
     assert got[4]["rejected"] == "" and got[4]["n_prompt_turns"] == 1
     assert got[None]["chosen"] == "<|unknown|>\n<|end|>\n" and got[None]["rejected"] is None
     assert preference.format_preferences(preference.pair_by_first_turn(convs.limit(0))).count() == 0
+    clash = preference.pair_by_first_turn(convs).withColumn("prompt", F.lit("p"))
+    assert {r["pair_prompt"] for r in preference.format_preferences(clash).collect()} == {"p"}
