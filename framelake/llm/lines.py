@@ -321,12 +321,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("dh"), F.col(text).alias("text"))
     lines = written(line_table(rows), "lines")
     classes = connected_components(near_links(rows, lines, k), "a", "b")
-    classes = classes.select(F.col("node").alias("h"), F.col("component").alias("c"))
+    classes = written(classes.select(F.col("node").alias("h"), F.col("component").alias("c")), "lineclasses")
     marked = lines.join(classes, "h", "left").select("id", "dh", "line", "h", F.coalesce("c", "h").alias("c"))
-    first = marked.groupBy("c").agg(F.min(F.struct("id", "dh", "line")).alias("f"), F.min_by("h", F.struct("id", "dh", "line")).alias("fh"), F.count("*").alias("n")).where("n > 1")
     here = F.struct("id", "dh", "line")
-    lost = marked.join(first, "c").where(~here.eqNullSafe(F.col("f")))
-    return lost.groupBy("id", "dh").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.size(F.collect_set(F.when(F.col("h") != F.col("fh"), F.col("line")))).alias("near"))
+    # A class may hold a third of all lines, so lines are not brought to their class: each
+    # class is reduced to its first line before it travels, and every other line is lost.
+    first = marked.groupBy("c").agg(F.min(here).alias("f"), F.min_by("h", here).alias("fh"))
+    kept = first.select(F.col("f.id").alias("kid"), F.col("f.dh").alias("kdh"), F.col("f.line").alias("kline"))
+    lost = marked.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("dh") == F.col("kdh")) & (F.col("line") == F.col("kline")), "left_anti")
+    # lines of linked classes that differ from the one kept: one row per distinct line
+    other = classes.join(first, "c").where("h <> fh").select(F.col("h").alias("oh"))
+    lost = lost.join(other, F.col("h") == F.col("oh"), "left")
+    return lost.groupBy("id", "dh").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.size(F.collect_set(F.when(F.col("oh").isNotNull(), F.col("line")))).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: str | None = "n_chars", k: int = THRESHOLD) -> DataFrame:
