@@ -246,10 +246,12 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     words = list(vocabulary)
     marks = Landmarks(choose_landmarks(bags, words, y, landmarks))
     sums = np.zeros((len(bags), len(marks.units)))
-    kernels = np.concatenate([marks.kernel(words[a : a + 50_000]) for a in range(0, len(words), 50_000)] or [np.zeros((0, len(marks.units)), np.float32)])
-    for i, (ids, counts) in enumerate(bags):
-        if len(ids):
-            sums[i] = counts @ kernels[ids]
+    for a in range(0, len(words), 50_000):  # the kernels of some words at a time
+        kernels = marks.kernel(words[a : a + 50_000])
+        for i, (ids, counts) in enumerate(bags):
+            x, z = np.searchsorted(ids, (a, a + 50_000))
+            if z > x:
+                sums[i] += counts[x:z] @ kernels[ids[x:z] - a]
     own, vectors = np.linalg.eigh(marks.kernel(marks.units).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-2))) @ vectors.T
     x = sums / sizes[:, None] ** exponent @ root
@@ -283,8 +285,11 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text", name:
     """``docs`` with the column ``name``: how likely the label 1 is, from 0 to 1.
 
     Only the text is read. A null or empty text scores as a text of no words. Without a model
-    (no labels, or of one kind) every score is 0. Repeated rows come back repeated.
+    (no labels, or of one kind) every score is 0. Repeated rows come back repeated. A column
+    that is called ``name`` already is replaced.
     """
+    if name in docs.columns and name != text:
+        docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     place = docs.columns.index(text)
