@@ -32,6 +32,7 @@ THRESHOLD, EXACT_FROM, NEAR_FROM = 1, 10, 20
 #: Pairs that one key may give; beyond that its lines are joined by finer keys.
 MOST_PAIRS = 4096
 SLICE = 1 << 20
+SALTS = 16
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -310,6 +311,17 @@ def near_links(docs: DataFrame, lines: DataFrame, k: int = THRESHOLD) -> DataFra
     return near.union(finer_links(texts.join(common, "h", "left_semi"), k, shards))
 
 
+def _marked(lines: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``lines`` with the columns of ``few`` (one row per line hash) where the hash is there.
+
+    One line may be a third of all; the side with few rows is dealt to SALTS places, so its
+    occurrences are as well.
+    """
+    dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id", "dh", "line"), F.lit(SALTS)).cast("int")
+    return lines.withColumn("__salt", salt).join(dealt, [key, "__salt"], "left").drop("__salt")
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = THRESHOLD) -> DataFrame:
     """(id, dh, removed, near): numbers of the lines, from 0, that each text loses, in order, and
     how many of them differ from the line kept.
@@ -322,7 +334,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     lines = written(line_table(rows), "lines")
     classes = connected_components(near_links(rows, lines, k), "a", "b")
     classes = written(classes.select(F.col("node").alias("h"), F.col("component").alias("c")), "lineclasses")
-    marked = lines.join(classes, "h", "left").select("id", "dh", "line", "h", F.coalesce("c", "h").alias("c"))
+    marked = _marked(lines, classes, "h").select("id", "dh", "line", "h", F.coalesce("c", "h").alias("c"))
     here = F.struct("id", "dh", "line")
     # A class may hold a third of all lines, so lines are not brought to their class: each
     # class is reduced to its first line before it travels, and every other line is lost.
@@ -330,9 +342,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     kept = first.select(F.col("f.id").alias("kid"), F.col("f.dh").alias("kdh"), F.col("f.line").alias("kline"))
     lost = marked.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("dh") == F.col("kdh")) & (F.col("line") == F.col("kline")), "left_anti")
     # lines of linked classes that differ from the one kept: one row per distinct line
-    other = classes.join(first, "c").where("h <> fh").select(F.col("h").alias("oh"))
-    lost = lost.join(other, F.col("h") == F.col("oh"), "left")
-    return lost.groupBy("id", "dh").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.size(F.collect_set(F.when(F.col("oh").isNotNull(), F.col("line")))).alias("near"))
+    other = classes.join(first, "c").where("h <> fh").select("h", F.lit(True).alias("differs"))
+    lost = _marked(lost, other, "h")
+    return lost.groupBy("id", "dh").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.size(F.collect_set(F.when(F.col("differs"), F.col("line")))).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: str | None = "n_chars", k: int = THRESHOLD) -> DataFrame:
