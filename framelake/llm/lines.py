@@ -280,7 +280,8 @@ def finer_links(texts: DataFrame, k: int, shards: int) -> DataFrame:
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line text) of the wanted line hashes, each read from the first text that holds it."""
-    first = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "dh", "line")).alias("p"))
+    # a line is reduced to its first place before it meets the wanted ones, however often it stands
+    first = lines.groupBy("h").agg(F.min(F.struct("id", "dh", "line")).alias("p")).join(wanted, "h", "left_semi")
     places = first.groupBy("p.id", "p.dh").agg(F.collect_list(F.struct("h", "p.line")).alias("lines"))
     places = places.withColumnRenamed("id", "pid").withColumnRenamed("dh", "pdh")
     held = docs.join(places, docs["id"].eqNullSafe(places["pid"]) & (docs["dh"] == places["pdh"]))
