@@ -25,6 +25,8 @@ LEAST_COSINE = 0.9
 SAMPLE = 8192
 CODES = 48
 TARGET_RECALL = 0.995
+#: Pairs of each sample vector that the stopping point is judged by, at most.
+PAIRS_EACH = 8
 #: Vectors of a cell that one block of the verification holds.
 BLOCK = 1024
 
@@ -92,29 +94,42 @@ class Index:
 
     def _calibrate(self, x: np.ndarray, least: float, recall: float) -> float:
         """How much more distant than its nearest cell a cell may be: what the wanted share of
-        the sample's own neighbour pairs needs (and pairs at the threshold drawn around
-        sample vectors, so that a sample without neighbours is no blind spot)."""
+        the sample's own neighbour pairs needs, weighed by vector and by cell, and that of pairs drawn
+        around sample vectors, from the threshold to 1 and at the threshold, each judged apart. The
+        largest holds, so no group of near vectors sets it alone."""
         rng = np.random.default_rng(3)
         base = x[rng.choice(len(x), min(len(x), 2048), replace=False)]
         noise = rng.standard_normal(base.shape)
         noise -= (noise * base).sum(1, keepdims=True) * base
         noise = unit(noise) if x.shape[1] > 1 else np.zeros_like(base)
         cosine = least + (1 - least) * rng.random((len(base), 1))
-        left, right = [base], [cosine * base + np.sqrt(1 - cosine**2) * noise]
+        drawn = self._more(base, cosine * base + np.sqrt(1 - cosine**2) * noise)
+        edge = self._more(base, least * base + np.sqrt(1 - least**2) * noise)
+        left, right = [], []
         for i in range(0, len(x), 1024):
             near = x[i : i + 1024] @ x.T >= least
-            p, q = np.nonzero(near)
-            p, q = p[p + i != q], q[p + i != q]
-            if len(p) > 20_000:
-                pick = rng.choice(len(p), 20_000, replace=False)
-                p, q = p[pick], q[pick]
-            left.append(x[p + i])
-            right.append(x[q])
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+            # a few pairs of each vector, so that a group of near vectors weighs as its vectors do
+            order = np.where(near, rng.random(near.shape, dtype=np.float32), 2)
+            few = np.argpartition(order, min(PAIRS_EACH, len(x) - 1), axis=1)[:, :PAIRS_EACH]
+            p, q = np.nonzero(np.take_along_axis(near, few, 1))
+            left.append(p + i)
+            right.append(few[p, q])
         left, right = np.concatenate(left), np.concatenate(right)
+        own = self._more(x[left], x[right])
+        # and by cell: the pairs of a crowded cell are not more than those of any other
+        cell = self.cells(x)[left]
+        order = np.argsort(own, kind="stable")
+        share = np.cumsum((1 / np.bincount(cell, minlength=1)[cell])[order]) if len(own) else own
+        by_cell = own[order][min(np.searchsorted(share, recall * share[-1]), len(own) - 1)] if len(own) else 0
+        found = [float(np.quantile(m, recall)) for m in (drawn, edge, own) if len(m)]
+        return max([*found, float(by_cell)]) + 1e-12
+
+    def _more(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How much more distant than its nearest cell the cell of ``right`` is, for each of ``left``."""
         a, b = self.distances(left)
         cell = self.cells(right)
-        more = a[np.arange(len(a)), cell // len(self.books[1])] + b[np.arange(len(b)), cell % len(self.books[1])] - a.min(1) - b.min(1)
-        return float(np.quantile(more, recall)) + 1e-12
+        return a[np.arange(len(a)), cell // len(self.books[1])] + b[np.arange(len(b)), cell % len(self.books[1])] - a.min(1) - b.min(1)
 
     def visits(self, x: np.ndarray) -> list[list[int]]:
         a, b = self.distances(x)

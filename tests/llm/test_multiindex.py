@@ -65,3 +65,18 @@ def test_dense_groups_and_odd_rows(spark, monkeypatch):
     for k in [1000, 1001, 1002, 1003, 1004, 1005, None]:
         assert tuple(got[k]) == (k, 0, k, True)
     assert near_vectors(df.limit(0)).count() == 0 and near_vectors(df.where("vec_id > 999")).count() == 6
+
+
+def test_pairs_outside_a_hot_group_are_found():
+    from framelake.llm.multiindex import Index, unit
+
+    rng = np.random.default_rng(7)
+    base = unit(rng.standard_normal((1200, 32)))
+    noise = rng.standard_normal(base.shape)
+    noise = unit(noise - (noise * base).sum(1, keepdims=True) * base)
+    c = rng.uniform(0.9, 1, (len(base), 1))
+    pairs = c * base + np.sqrt(1 - c**2) * noise
+    hot = unit(base[0] + 0.03 * rng.standard_normal((1200, 32)))
+    index = Index(np.concatenate([base, pairs, hot]))
+    found = [cell in set(seen) for cell, seen in zip(index.cells(pairs).tolist(), index.visits(base))]
+    assert np.mean(found) >= 0.97
