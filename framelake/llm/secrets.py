@@ -7,6 +7,7 @@ import binascii
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -33,8 +34,8 @@ _entity = re.compile(r"(?:&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});)+")
 _base64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 _one = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 
-#: A decompressed layer is held whole; one that would be larger is reported, not decoded.
-MAX_LAYER = 64 << 20
+#: A decompressed layer that would be larger is scanned in pieces of this size, which overlap.
+MAX_LAYER, OVERLAP, STEP = 8 << 20, 1 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -55,38 +56,90 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream, else None."""
+def _opener(data: bytes):
+    """A decompressor for what starts like a gzip, zlib, bzip2 or xz stream, else None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of all members of a stream, in chunks of STEP at most; of a damaged or cut-off
+    one, what comes before the damage."""
+    rest = next(chunks, b"")
+    make = _opener(rest)
     try:
-        if data[:2] == b"\x1f\x8b":
-            make = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            make = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            make = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            make = lzma.LZMADecompressor()
-        else:
-            return None
-        out = make.decompress(data, MAX_LAYER)
-        return out if make.eof else None
+        while make:
+            out = make.decompress(rest, STEP)
+            if out:
+                yield out
+            if make.eof:
+                # padding between members is zero bytes
+                rest = make.unused_data.lstrip(b"\0")
+                while len(rest) < 6 and (more := next(chunks, b"")):
+                    rest = (rest + more).lstrip(b"\0")
+                make = _opener(rest)
+            else:
+                rest = getattr(make, "unconsumed_tail", b"")
+                if not rest and len(out) < STEP and getattr(make, "needs_input", True) and not (rest := next(chunks, b"")):
+                    return
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
+        return
 
 
-def _from_base64(run: str) -> str | None:
+def _unpacked(data: bytes) -> Iterator[str]:
+    """The text of a compressed layer, however deep; a large one in pieces that overlap."""
+    chunks, seen = iter([data]), set()
+    while True:
+        first = next(chunks, b"")
+        key = hashlib.sha256(first).digest()
+        if key in seen:
+            return
+        seen.add(key)  # compressed layers nest as well, and may hold themselves
+        read, rest, probing = [first], chunks, True
+
+        def fed(rest: Iterator[bytes] = rest, read: list[bytes] = read) -> Iterator[bytes]:
+            yield read[0]
+            for chunk in rest:
+                if probing:
+                    read.append(chunk)
+                yield chunk
+
+        inner = _inflate(fed()) if _opener(first) is not None else iter(())
+        out = next(inner, None)
+        probing = False
+        if out is None:  # text may start like a stream
+            chunks = itertools.chain(read, rest)
+            break
+        chunks = itertools.chain([out], inner)
+    piece = b""
+    for chunk in chunks:
+        piece += chunk
+        if len(piece) >= MAX_LAYER:
+            yield piece.decode(errors="replace")
+            piece = piece[-OVERLAP:]
+    if piece:
+        yield piece.decode(errors="replace")
+
+
+def _from_base64(run: str) -> Iterator[str]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (packed := _inflate(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
-        seen.add(key)  # compressed layers nest as well
-        data = packed
-    return _readable(data)
+        return
+    if _opener(data) is not None and next(_inflate(iter([data])), None) is not None:
+        yield from _unpacked(data)
+    elif (out := _readable(data)) is not None:
+        yield out
 
 
 def _unescape(run: str) -> str | None:
@@ -121,7 +174,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _entity.finditer(text):
             yield m.start(), m.end(), html.unescape(m[0])
     for m in _base64.finditer(text):
-        if (out := _from_base64(m[0])) is not None:
+        for out in _from_base64(m[0]):
             yield m.start(), m.end(), out
 
 

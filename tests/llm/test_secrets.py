@@ -79,3 +79,25 @@ def test_query_against_brute_force(spark):
         want = brute(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(filter(None, r["spans"].split(",")))
+
+
+def test_every_member_of_a_stream_is_read(monkeypatch):
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import random
+
+    import framelake.llm.secrets as S
+
+    secret = b"password: hunter22abc\n"
+    noise = random.Random(1).randbytes(30_000).hex("-", 1).encode()
+    hits = lambda data: {s[0] for s in S.find_secrets(base64.b64encode(data).decode())}
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        assert "assign" in hits(pack(b"plain words\n") + pack(secret))
+        assert "assign" in hits(pack(pack(b"plain words\n") + pack(secret)))
+    assert "assign" in hits(gzip.compress(secret + noise)[:-4000])
+    monkeypatch.setattr(S, "MAX_LAYER", 8192)
+    monkeypatch.setattr(S, "OVERLAP", 64)
+    monkeypatch.setattr(S, "STEP", 4096)
+    assert "assign" in hits(gzip.compress(noise + secret + noise))
