@@ -24,9 +24,16 @@ KINDS = BASE_KINDS + ADDED_KINDS
 # Cues that announce an item.
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:", "tel:")
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "compte", "cuenta", "user id", "username", "login")
+#: Cues that announce a name, which need not hold a digit.
+NAME_CUES = ("username", "login")
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
     "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24, "TR": 26,
+    "AD": 24, "AE": 23, "AL": 28, "AZ": 28, "BA": 20, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CR": 22, "CY": 28, "DO": 28,
+    "EE": 20, "EG": 29, "FO": 18, "GE": 22, "GI": 23, "GL": 18, "GT": 28, "HR": 21, "IL": 23, "IQ": 23, "IS": 26, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "PK": 24, "PS": 29, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SI": 19,
+    "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -129,6 +136,7 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
 
 def _added(text: str, cues: list, base: list) -> list[tuple[str, int, int]]:
     spans: list[tuple[str, int, int]] = []
+    announced: list[tuple[int, int]] = []
     taken: list[list[int]] = []  # apart and in order
     for start, end in sorted((s, e) for _, s, e in base):
         if taken and start < taken[-1][1]:
@@ -154,9 +162,8 @@ def _added(text: str, cues: list, base: list) -> list[tuple[str, int, int]]:
             if (start == 0 or text[start - 1].isspace()) and (m := _handle.match(text, start)):
                 add("handle", start, m.end())
         elif start == 0 or not text[start - 1].isalnum():
-            if (m := _account.match(text, end)) and any("0" <= c <= "9" for c in m[1]):
-                if not _iban.match(text, m.start(1)):
-                    add("account", m.start(1), m.end(1))
+            if (m := _account.match(text, end)) and (text[start:end].lower() in NAME_CUES or any("0" <= c <= "9" for c in m[1])):
+                announced.append((m.start(1), m.end(1)))
     if any(c in text for c in "0123456789"):
         for m in re.finditer(r"\b[A-Z]{2}[0-9]{2}(?=[ ]?[A-Z0-9])", text, re.A):
             size = IBAN_LENGTHS.get(m[0][:2])
@@ -167,6 +174,8 @@ def _added(text: str, cues: list, base: list) -> list[tuple[str, int, int]]:
                     stop += 1
                 if n == size and valid_iban(text[m.start() : stop]) and not text[stop : stop + 1].isalnum():
                     add("iban", m.start(), stop)
+    for start, end in announced:  # what no valid IBAN took
+        add("account", start, end)
     return spans
 
 

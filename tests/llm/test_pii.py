@@ -66,3 +66,13 @@ def test_query_against_brute_force(spark):
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert r["spans"].startswith(text) and r["n_email"] == sum(k == "email" for k, _, _ in want)
+
+
+def test_announced_accounts_that_no_iban_takes():
+    from framelake.llm.pii import find_pii
+
+    got = lambda text: [(k, text[s:e]) for k, s, e in find_pii(text)]
+    assert got("IBAN: RO49AAAA1B31007593840000") == [("iban", "RO49AAAA1B31007593840000")]
+    assert got("Account no: AB12345678901234") == [("account", "AB12345678901234")]
+    assert got("username: maria.lopez") == [("account", "maria.lopez")]
+    assert got("IBAN: RO49AAAA1B31007593840001") == [("account", "RO49AAAA1B31007593840001")]
