@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import re
+import time
 from urllib.parse import quote
 
 import pyarrow.parquet as pq
@@ -45,22 +46,95 @@ def layered(text, kinds):
             text = base64.b64encode(gzip.compress(bz2.compress(text.encode()))).decode()
         elif kind == "url":
             text = quote(text, safe="")
+        elif kind == "entity":
+            text = "".join(f"&#{ord(c)};" for c in text)
+        elif kind == "part":
+            text = "".join(f"%{ord(c):02x}" if i % 3 == 1 and ord(c) < 128 else c for i, c in enumerate(text))
         elif kind == "unicode":
             text = "".join(f"\\u{ord(c):04x}" for c in text)
     return text
 
 
-def test_nested_layers_map_to_the_outer_span():
-    for kinds in (["b64"], ["url"], ["unicode"], ["gzip"], ["bz2gzip"], ["b64", "b64", "url"], ["gzip", "url", "b64"], ["unicode", "b64", "unicode"]):
-        inner = layered(f"x {KEY} y", kinds)
-        text = f"é before {inner} after"
-        spans = [s for s in find_secrets(text) if s[0] == "access"]
-        assert inner in [text[s:e] for _, s, e, _ in spans], kinds
-        assert max(d for _, _, _, d in spans) >= 1
+def brute_layers(text):
+    """All (kind, start, end) by characters that carry their span of the text; no compression."""
+    found, work, seen = set(), [[(c, i, i + 1) for i, c in enumerate(text)]], set()
+    while work:
+        state = work.pop()
+        if tuple(state) in seen:
+            continue
+        seen.add(tuple(state))
+        layer = "".join(c for c, _, _ in state)
+        found |= {(k, state[s][1], state[e - 1][2]) for k, s, e in brute(layer)}
+        plain, i = [], 0
+        while i < len(state):
+            m = re.match(r"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|&#([0-9]+);", layer[i : i + 12])
+            if m:
+                plain.append((chr(int(m[1] or m[2], 16) if not m[3] else int(m[3])), state[i][1], state[i + m.end() - 1][2]))
+                i += m.end()
+            else:
+                plain.append(state[i])
+                i += 1
+        if plain != state:
+            work.append(plain)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", layer):
+            for x, y in [m.span()] + [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[A-Za-z0-9+]{16,}", m[0])]:
+                if (y - x) % 4 == 1:
+                    continue
+                body = layer[x:y].replace("-", "+").replace("_", "/")
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+                chars = [chr(c) for c in data]
+                spans = [(x + k * 4 // 3, min(y, x - (-(k + 1) * 4 // 3))) for k in range(len(data))]
+                work.append([(c, state[s][1], state[e - 1][2]) for c, (s, e) in zip(chars, spans)])
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(
+    st.lists(st.sampled_from(["password", "token: ", "=", " ", "abc123x", KEY, "0a" * 12, "of the", "\n"]), min_size=1, max_size=5).map("".join),
+    lambda inner: st.tuples(inner, st.sampled_from(["b64", "url", "unicode", "entity", "part"]), st.sampled_from(["", "x ", "token="])).map(lambda t: t[2] + layered(t[0], [t[1]])),
+    max_leaves=3,
+))
+def test_layers_against_brute_force(text):
+    assert {s[:3] for s in find_secrets(text)} == brute_layers(text)
+
+
+def test_two_secrets_of_a_run_have_their_own_spans():
+    inner = "some words password=hunter22abc and token: abcdef77 after"
+    for kinds in (["b64"], ["url"], ["unicode"], ["b64", "url"], ["url", "b64"], ["b64", "b64"], ["unicode", "b64", "unicode"]):
+        text = f"é before {layered(inner, kinds)} after"
+        spans = [s for s in find_secrets(text) if s[0] == "assign"]
+        assert len(spans) == 2 and spans[0][2] <= spans[1][1] + 2 and all(1 <= s[3] <= len(kinds) for s in spans), kinds
+    packed = layered(inner, ["bz2gzip"])
+    assert {(s[1], s[2]) for s in find_secrets(f"a {packed} b")} == {(2, 2 + len(packed))}
+
+
+def test_escapes_in_part_and_odd_bytes():
+    got = lambda text: [(text[s:e], d) for _, s, e, d in find_secrets(text)]
+    assert got("https://h/?n=Jos%E9&password%3Dhunter22abc x") == [("password%3Dhunter22abc", 1)]
+    assert got("password&#61;hunter22abc") == [("password&#61;hunter22abc", 1)]
+    assert got("passw%6Frd: hunter22abc") == [("passw%6Frd: hunter22abc", 1)]
+    binary = b"\0\1\xff password=hunter22 \0"
+    assert [d for _, d in got(base64.b64encode(binary).decode())] == [1]
+    assert [d for _, d in got(base64.b64encode("password=hunter22".encode("utf-16-le")).decode())] == [1]
+    body = gzip.compress(b"".join(b"line %d %d\n" % (i, i * 7919 % 1000) for i in range(200)) + b"password=hunter22")
+    assert len(got(f"x\n{base64.encodebytes(body).decode()}\ny")) == 1
+    assert len(got("u=" + quote(gzip.compress(b"password=hunter22")))) == 1
+
+
+def test_time_is_linear():
+    n = 200_000
+    for text in ("a" * n + "%41", "%" + "25" * (n // 2) + "41", "%41" * (n // 3), "\\u0041" * (n // 6), "A" * n, "abc/" * (n // 4), "&a" * (n // 2), "x^" * (n // 2) + "%41", "QUJD" * (n // 4), "token=" * (n // 6)):
+        began = time.process_time()
+        find_secrets(text)
+        once = time.process_time() - began
+        began = time.process_time()
+        find_secrets(text * 4)
+        assert time.process_time() - began < 8 * once + 1.0, text[:20]
 
 
 def test_fixpoints_and_odd_input():
     assert find_secrets(None) == [] == find_secrets("") == find_secrets("%25%25%2525 \\u005cu0041 plain words of no interest")
+    assert [s[:3] for s in find_secrets("passw%" + "25" * 40 + "6Frd: hunter22abc") if s[0] == "assign"] == [("assign", 0, 5 + 1 + 80 + 17)]
     assert find_secrets("%" * 2000 + "A" * 2001) is not None
 
 
