@@ -1,9 +1,9 @@
 """Personal data: anchors by Aho-Corasick, spans by local parsers.
 
-An automaton of at-signs, schemes and identifier cues runs once over the text. At each
+An automaton of at-signs, schemes, identifier cues, plus signs and digits runs once over the text. At each
 anchor a parser reads left and right from it, as far as the item can go, and validates
-it; no parser scans the text. Numbers that need no cue (addresses, cards) are anchored by
-digit runs, and phone numbers by the plus sign.
+it; no parser scans the text. Numbers that need no cue (addresses, cards, account numbers with a checksum) start at the
+first digit that no number of their kind has taken.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ IBAN_LENGTHS = {
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _label = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_ip = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
-_card = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_dotted = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_card = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _url = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:@\[\]-]+(?:[/?#][^\s<>\"'()]*)?")
 _account = re.compile(r"(?:[ ]?(?:no|nr|number|num|id|name)\b\.?)?[ ]?[:#=][ ]?([A-Za-z0-9][A-Za-z0-9_.-]{3,63})", re.I | re.A)
@@ -54,6 +54,9 @@ def automaton():
     if not _automaton:
         found = ahocorasick.Automaton()
         found.add_word("@", ("at", 1))
+        found.add_word("+", ("plus", 1))
+        for digit in "0123456789":
+            found.add_word(digit, ("digit", 1))
         for cue in SCHEMES:
             found.add_word(cue, ("scheme", len(cue)))
         for cue in ACCOUNT_CUES:
@@ -101,93 +104,111 @@ def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return start, m.end()
 
 
+def addresses_in(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
+    """The numeric addresses of the dotted run of digits that starts here, and where the run ends: every four groups
+    are one, and those with a group above 255 are dropped."""
+    end = _dotted.match(text, start).end()
+    groups = text[start:end].split(".") if end - start > 6 else []
+    found, at = [], start
+    for i in range(0, len(groups) - 3, 4):
+        part = groups[i : i + 4]
+        stop = at + sum(map(len, part)) + 3
+        if all(len(p := g.lstrip("0")) <= 3 and int(p or 0) <= 255 for g in part):
+            found.append((at, stop))
+        at = stop + 1
+    return found, end
+
+
+def iban_at(text: str, start: int) -> tuple[int, int] | None:
+    """The account number with two letters and two digits here, if its country's length and its checksum hold."""
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    if not size or (start and (text[start - 1].isalnum() and text[start - 1].isascii() or text[start - 1] == "_")) or not (run := _iban.match(text, start)):
+        return None
+    stop, n = start, 0
+    while stop < run.end() and n < size:
+        n += text[stop] != " "
+        stop += 1
+    if n == size and valid_iban(text[start:stop]) and not text[stop : stop + 1].isalnum():
+        return start, stop
+    return None
+
+
 def find_pii(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by kind as listed and start.
 
     The base kinds follow their patterns to the letter. The added kinds are links with
-    their user part, handles, IBANs whose checksum holds, and account names or numbers
-    that a cue and a separator announce; an added span that overlaps a base span or one
-    added before it is left out.
+    their user part, handles, account numbers whose checksum holds, and account names or numbers
+    that a cue and a separator announce. An added span that lies in a base span, or overlaps one
+    added before it, is left out.
     """
     if not text:
         return []
-    spans: list[tuple[str, int, int]] = []
-    floor = 0
-    cues = list(anchors(text))
-    for kind, at, end in cues:
-        if kind == "at" and at >= floor and (found := email_at(text, at, floor)):
-            spans.append(("email", *found))
-            floor = found[1]
-    if any(c in text for c in "0123456789"):
-        for m in _ip.finditer(text):
-            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.groups()):
-                spans.append(("ip", m.start(), m.end()))
-        for m in _card.finditer(text):
-            if m.end() - m.start() >= 16 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
-                spans.append(("card", m.start(), m.end()))
-        at = text.find("+")
-        while at >= 0:
-            if m := _phone.match(text, at):
-                if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
-                    spans.append(("phone", m.start(), m.end()))
-            at = text.find("+", m.end() if m else at + 1)
-    return spans + sorted(_added(text, cues, spans), key=lambda s: (KINDS.index(s[0]), s[1]))
-
-
-def _added(text: str, cues: list, base: list) -> list[tuple[str, int, int]]:
-    spans: list[tuple[str, int, int]] = []
+    spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    floor = {"at": 0, "plus": 0, "dotted": 0, "card": 0}
     announced: list[tuple[int, int]] = []
-    taken: list[list[int]] = []  # apart and in order
-    for start, end in sorted((s, e) for _, s, e in base):
-        if taken and start < taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], end)
-        else:
-            taken.append([start, end])
-
-    def add(kind: str, start: int, end: int) -> None:
-        i = bisect.bisect(taken, [start, end])
-        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
-            spans.append((kind, start, end))
-            taken.insert(i, [start, end])
-
-    for kind, start, end in cues:
-        if kind == "scheme":
+    for kind, start, end in anchors(text):
+        if kind == "digit":
+            if start >= floor["dotted"]:
+                found, floor["dotted"] = addresses_in(text, start)
+                spans["ip"] += found
+            if start >= floor["card"]:
+                floor["card"] = stop = _card.match(text, start).end()
+                if stop - start >= 16 and 16 <= len(d := text[start:stop].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
+                    spans["card"].append((start, stop))
+            if start >= 2 and "A" <= text[start - 1] <= "Z" and (found := iban_at(text, start - 2)):
+                spans["iban"].append(found)
+        elif kind == "plus":
+            if start >= floor["plus"] and (m := _phone.match(text, start)):
+                floor["plus"] = m.end()
+                if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+                    spans["phone"].append(m.span())
+        elif kind == "at":
+            if start >= floor["at"] and (found := email_at(text, start, floor["at"])):
+                spans["email"].append(found)
+                floor["at"] = found[1]
+            if (start == 0 or text[start - 1].isspace()) and (m := _handle.match(text, start)):
+                spans["handle"].append(m.span())
+        elif kind == "scheme":
             if (start == 0 or not text[start - 1].isalnum()) and (m := _url.match(text, end)):
                 stop = m.end()
                 while stop > end and text[stop - 1] in ".,;:!?":
                     stop -= 1
                 if stop > end:
-                    add("url", start, stop)
-        elif kind == "at":
-            if (start == 0 or text[start - 1].isspace()) and (m := _handle.match(text, start)):
-                add("handle", start, m.end())
+                    spans["url"].append((start, stop))
         elif start == 0 or not text[start - 1].isalnum():
             if (m := _account.match(text, end)) and (text[start:end].lower() in NAME_CUES or any("0" <= c <= "9" for c in m[1])):
-                announced.append((m.start(1), m.end(1)))
-    if any(c in text for c in "0123456789"):
-        for m in re.finditer(r"\b[A-Z]{2}[0-9]{2}(?=[ ]?[A-Z0-9])", text, re.A):
-            size = IBAN_LENGTHS.get(m[0][:2])
-            if size and (run := _iban.match(text, m.start())):
-                stop, n = m.start(), 0
-                while stop < run.end() and n < size:
-                    n += text[stop] != " "
-                    stop += 1
-                if n == size and valid_iban(text[m.start() : stop]) and not text[stop : stop + 1].isalnum():
-                    add("iban", m.start(), stop)
-    for start, end in announced:  # what no valid IBAN took
-        add("account", start, end)
-    return spans
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+                announced.append(m.span(1))
+    spans["account"] = announced  # what no valid account number took
+    return [(k, *s) for k in BASE_KINDS for s in spans[k]] + _apart(spans)
+
+
+def _apart(spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """The added spans by kind and start, without those in a base span or across one before them."""
+    base = sorted(s for k in BASE_KINDS for s in spans[k])
+    reach, far = [], 0
+    for _, end in base:
+        far = max(far, end)
+        reach.append(far)
+    taken: list[tuple[int, int]] = []
+    out = []
+    for kind in ("url", "handle", "iban", "account"):
+        for start, end in sorted(set(spans[kind])):
+            i = bisect.bisect_right(base, (start, 1 << 62))
+            if i and reach[i - 1] >= end:
+                continue
+            j = bisect.bisect(taken, (start, end))
+            if (j and taken[j - 1][1] > start) or (j < len(taken) and taken[j][0] < end):
+                continue
+            taken.insert(j, (start, end))
+            out.append((kind, start, end))
+    return out
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``spans`` (array of kind, start, end, value).
 
-    A null or empty text has none. Repeated rows come back repeated; ids may be null;
-    further columns are ignored.
+    A null or empty text has none; texts of any length are read in whole. Repeated rows come back repeated;
+    ids may be null; further columns are ignored; an empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
@@ -214,6 +235,3 @@ def pii_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return scanned.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-__all__ = ["find_pii", "scan_pii", "pii_digest", "digest"]

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pyarrow.parquet as pq
 from hypothesis import given, settings
@@ -76,3 +77,52 @@ def test_announced_accounts_that_no_iban_takes():
     assert got("Account no: AB12345678901234") == [("account", "AB12345678901234")]
     assert got("username: maria.lopez") == [("account", "maria.lopez")]
     assert got("IBAN: RO49AAAA1B31007593840001") == [("account", "RO49AAAA1B31007593840001")]
+
+
+def brute_added(text):
+    """The added kinds by plain patterns over the whole text."""
+    from framelake.llm.pii import IBAN_LENGTHS, valid_iban
+
+    own = {k: [] for k in ("url", "handle", "iban", "account")}
+    for m in re.finditer(r"(?i:https?://|ftp://|ssh://|mailto:|tel:)", text):
+        if m.start() and text[m.start() - 1].isalnum():
+            continue
+        rest = re.match(r"[A-Za-z0-9._~%!$&'*+,;=:@\[\]-]+(?:[/?#][^\s<>\"'()]*)?", text[m.end() :])
+        if rest and (body := rest[0].rstrip(".,;:!?")):
+            own["url"].append((m.start(), m.end() + len(body)))
+    own["handle"] = [m.span() for m in re.finditer(r"(?<!\S)@[A-Za-z][A-Za-z0-9_]{2,29}(?![A-Za-z0-9_@.])", text)]
+    for m in re.finditer(r"(?<![A-Za-z0-9_])([A-Z]{2})[0-9]{2}", text):
+        size, n, i = IBAN_LENGTHS.get(m[1], 0), 0, m.start()
+        while size and i < len(text) and n < size and re.match(r"[A-Z0-9]|(?<=[A-Z0-9]) (?=[A-Z0-9])", text[i:]) or (size and n < size and i < len(text) and text[i] == " " and text[i - 1] != " " and re.match("[A-Z0-9]", text[i + 1 : i + 2])):
+            n += text[i] != " "
+            i += 1
+        if size and n == size and valid_iban(text[m.start() : i]) and not text[i : i + 1].isalnum():
+            own["iban"].append((m.start(), i))
+    cues = "account|acct|iban|ssn|passport|konto|compte|cuenta|user id|username|login"
+    for m in re.finditer(rf"(?i:({cues}))(?=(?i:(?:[ ]?(?:no|nr|number|num|id|name)\b\.?)?[ ]?[:#=][ ]?)([A-Za-z0-9][A-Za-z0-9_.-]{{3,63}}))", text):
+        if (not m.start() or not text[m.start() - 1].isalnum()) and (m[1].lower() in ("username", "login") or re.search("[0-9]", m[2])):
+            own["account"].append(m.span(2))
+    spans, out = base(find_pii(text)), []
+    for kind, found in own.items():
+        for s, e in sorted(set(found)):
+            if not any(x <= s and e <= y for _, x, y in spans) and not any(x < e and s < y for _, x, y in out):
+                out.append((kind, s, e))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["http://", "mailto:", "a@b.cd", "@some_one", "bob", " ", ".", "/x?k=1", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "IBAN: ", "account no: ", "login=", "A-77812", "1.2.3.4", "4111111111111111", "+1 743 555 3824", "é", "é", ":", "99"]), max_size=8).map("".join))
+def test_added_kinds_are_the_patterns(text):
+    got = find_pii(text)
+    assert base(got) == brute(text) and got[len(base(got)) :] == brute_added(text)
+
+
+def test_links_that_hold_an_address_and_long_texts():
+    text = "http://bob@example.com/x?k=1"
+    assert find_pii(text) == [("email", 7, 22), ("url", 0, len(text))]
+    for part in ("1.2.3.4.", "1 2-3 ", "+1 ", "a@b.", "AB12 ", "http://x", "9"):
+        long = part * (2000 // len(part))
+        assert base(find_pii(long)) == brute(long)
+        began = time.process_time()
+        find_pii(part * (400_000 // len(part)))
+        assert time.process_time() - began < 10, part
