@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import written
+from framelake.llm.shared import forget, join_hot, written
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -16,8 +16,8 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     (first over all neighbours, then over smaller ones), and ends when no link moves.
     Rounds grow with the logarithm of the longest path. A node's rows are only ever
     reduced to a minimum, which Spark does before the shuffle, and joined against one row
-    per node, which adaptive execution may split; none is gathered into a list. Links with
-    a null end are ignored; repeated links and loops do no harm.
+    per node; the neighbours of a hub stay where they are and the hub's row goes to them. None is
+    gathered into a list. Links with a null end are ignored; repeated links and loops do no harm.
     """
     pairs = (
         links.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -26,34 +26,37 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
         .distinct()
     )
     pairs = written(pairs, "links")
-    before = None
-    while True:
-        pairs, state = _round(pairs)
-        if state == before or state[0] == 0:
+    state = _digest(pairs)
+    while state[0]:
+        before, old = state, pairs
+        pairs = _round(pairs, 2 * before[0])
+        state = _digest(pairs)
+        forget(old)
+        if state == before:
             break
-        before = state
     # every node now hangs under its root; roots stand for themselves
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         pairs.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     )
 
 
-def _round(pairs: DataFrame) -> tuple[DataFrame, tuple]:
-    """One large-star and one small-star step on links (a > b); the links and their digest."""
+def _digest(pairs: DataFrame) -> tuple:
+    row = pairs.select(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
+
+
+def _round(pairs: DataFrame, total: int) -> DataFrame:
+    """One large-star and one small-star step on links (a > b)."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    large = join_hot(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").select("a", "b", "m")
+    low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    small = join_hot(large, low, ["a"], "n", total).select("a", "b", "m")
     small = (
         small.where("b <> m")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(low.select("a", F.col("m").alias("b")))
         .distinct()
     )
-    small = written(small, "links")
-    row = small.select(
-        F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return small, (row["n"], row["h"])
+    return written(small, "links")

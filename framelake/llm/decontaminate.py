@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import written
+from framelake.llm.shared import text_key, written
 from framelake.llm.tokens import NOT_WORD, pair, text_slices, words
 
 NGRAM = 3
@@ -249,6 +249,8 @@ def _blocks(items: DataFrame, n: int, block: int) -> Iterator[Seeds]:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without those that hold a test item; rows of a null id stay."""
-    bad = contaminated(docs, items, id_col, text, **options).select(F.col(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text holds a test item. The text alone decides, so null and
+    repeated ids do no harm; null and empty texts stay."""
+    own = docs.select(text_key(text).alias("__key"), F.col(text).alias("__text"))
+    bad = contaminated(own, items, "__key", "__text", **options).select("__key").distinct()
+    return docs.withColumn("__key", text_key(text)).join(bad, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

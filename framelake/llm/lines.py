@@ -31,7 +31,8 @@ from framelake.llm.tokens import ROOT, ROOT_INVERSE, mix, pair
 THRESHOLD, EXACT_FROM, NEAR_FROM = 1, 10, 20
 #: Pairs that one key may give; beyond that its lines are joined by finer keys.
 MOST_PAIRS = 4096
-SLICE = 1 << 20
+#: Characters of text, and keys, that are worked on at a time.
+SLICE, KEYS = 1 << 19, 1 << 19
 SALTS = 16
 
 
@@ -217,7 +218,7 @@ def candidate_pairs(docs: DataFrame, k: int, shards: int) -> DataFrame:
             for _, texts in line_slices(batch.column(0).to_pylist()):
                 parts.append(segment_keys(Lines(texts), k))
                 size += len(parts[-1][0])
-                if size > 2_000_000:
+                if size > KEYS:
                     yield _emit(parts)
                     parts, size = [], 0
         if parts:

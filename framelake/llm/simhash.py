@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
-from framelake.llm.shared import written
+from framelake.llm.shared import first_rows, row_key, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-SEGMENTS, SEGMENT_BITS, RADIUS = 2, 32, 1
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -110,19 +109,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated; further columns are ignored; an empty table gives an empty table.
     """
     prints = written(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle, ["id"]), "fps")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    groups = connected_components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(groups, distinct.fp == groups.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
+    named = _components(prints).join(prints.groupBy("fp").agg(F.min("id").alias("first")), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """(fp, component) of each distinct fingerprint: the least fingerprint that links reach."""
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    groups = connected_components(fingerprint_links(distinct))
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (one, if it repeats)."""
-    groups = simhash_groups(docs, id_col, text, shingle)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    one = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi")
-    return one.dropDuplicates([id_col])
+    """``docs`` with one row of each group: that of the smallest id, of one id that of the least text
+    and row hash, and of equal rows one. A null id is smallest only in a group that has no other; rows are
+    told apart by what they hold, so one whose id another row has as well is not lost with it."""
+    at = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("dh"), row_key(docs).alias("rh"), F.col(text).alias("text"))
+    prints = written(with_fingerprints(at, "text", shingle, ["id", "dh", "rh"]), "fps")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "dh", "rh")).alias("first"))
+    return first_rows(docs, _components(prints).join(first, "fp").select(F.col("component").alias("group"), "first"), text)

@@ -46,7 +46,10 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     small = {(r[0], r[1]): r[2] for r in D.contaminated(docs, items, block=5).collect()}
     assert small == got
     kept = D.clean(docs, items.where("item_id = 7"))
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 8]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 8]
+    # the text decides, not the id
+    shared = spark.createDataFrame([(1, ITEM), (1, filler), (None, filler), (None, ITEM), (1, filler)], "doc_id long, text string")
+    assert [(r["doc_id"], r["text"]) for r in D.clean(shared, items).orderBy("doc_id").collect()] == [(None, filler), (1, filler), (1, filler)]
     assert D.contaminated(docs.limit(0), items).count() == 0 == D.contaminated(docs, items.limit(0)).count()
 
 

@@ -57,6 +57,11 @@ def test_groups_edge_cases(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash_groups(df).collect())
     assert got == [(-1, None), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7)]
     assert sorted(r["doc_id"] or -1 for r in simhash_dedup(df).collect()) == [-1, 3, 7]
+    # rows, not ids: five texts of which ids repeat or are missing
+    texts = ["a b c d", "e f g h", "i j k l", "m n o p", "q r s t"]
+    own = spark.createDataFrame(list(zip((None, None, 5, 5, 5), texts)) + [(5, "q r s t"), (6, "q r s t")], "doc_id long, text string")
+    kept = simhash_dedup(own).collect()
+    assert sorted(r["text"] for r in kept) == texts and {r["doc_id"] for r in kept if r["text"] == texts[4]} == {5}
     assert simhash_groups(df.limit(0)).count() == 0 == simhash_dedup(df.limit(0)).count()
 
 
