@@ -70,21 +70,41 @@ def pack_blocks(data: bytes, delta: bool = False) -> bytes:
     out = bytearray(BLOCKS + BLOCK.to_bytes(2, "little") + bytes(2) + len(data).to_bytes(4, "little") + n.to_bytes(4, "little") + CHUNK.to_bytes(2, "little") + bytes(2))
     for a in range(0, n, CHUNK):
         modes, body = zip(*(_block(c) for c in codes[a : a + CHUNK]))
-        raw = bytes(m | (modes[i + 1] << 4 if i + 1 < len(modes) else 0) for i, m in enumerate(modes) if i % 2 == 0)
-        runs = bytearray()
-        i = 0
-        while i < len(modes):
-            j = i
-            while j < len(modes) and modes[j] == modes[i]:
-                j += 1
-            runs += bytes([modes[i], j - i - 1])
-            i = j
-        folded = len(runs) < len(raw)
-        described, payload = bytes(runs) if folded else raw, b"".join(body)
+        described, folded = _described(modes)
+        payload = b"".join(body)
         out += len(modes).to_bytes(2, "little") + len(described).to_bytes(2, "little") + len(payload).to_bytes(4, "little") + bytes([folded | delta << 1, 0, 0, 0]) + described + payload
     return bytes(out)
 
 
+def runs_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of runs of equal rows, cut after 256."""
+    n = len(rows)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).reshape(n - 1, -1).any(1))))
+    size = np.diff(start, append=n)
+    pieces = -(-size // 256)
+    first = np.repeat(start, pieces) + 256 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return first, np.diff(first, append=n)
+
+
+def _described(modes) -> tuple[bytes, bool]:
+    """Block modes as half bytes, or as runs if that is shorter."""
+    modes = list(modes)
+    raw = bytes(m | (modes[i + 1] << 4 if i + 1 < len(modes) else 0) for i, m in enumerate(modes) if i % 2 == 0)
+    first, size = runs_of(np.array(modes, np.int64))
+    runs = bytes(v for i, n in zip(first.tolist(), size.tolist()) for v in (modes[i], n - 1))
+    return (runs, True) if len(runs) < len(raw) else (raw, False)
+
+
+def pack_motion_map(vectors: np.ndarray) -> tuple[bytes, bool]:
+    """Vectors (n, 2) as signed bytes, or as runs of equal ones if that is shorter."""
+    raw = np.asarray(vectors, np.int64).astype(np.int8)
+    first, size = runs_of(raw)
+    runs = b"".join(raw[i].tobytes() + bytes([n - 1]) for i, n in zip(first, size.tolist()))
+    return (runs, True) if len(runs) < raw.nbytes else (raw.tobytes(), False)
+
+
 def _block(codes: np.ndarray) -> tuple[int, bytes]:
     width = int(codes.max()).bit_length()
     if not width:
@@ -170,8 +190,9 @@ def pack_grouped(data: bytes, runs: bool = True, delta: bool = False) -> bytes:
         mode = 9 if width and 8 + nonzero < 8 * width else width
         modes.append(mode)
         bodies.setdefault(mode, bytearray()).extend(_stored(c, mode))
-    raw = bytes(m | (modes[i + 1] << 4 if i + 1 < n else 0) for i, m in enumerate(modes) if i % 2 == 0)
-    head = (GROUPED_RUNS if runs else GROUPED) + BLOCK.to_bytes(2, "little") + (2 if delta and runs else 0).to_bytes(2, "little") + len(data).to_bytes(4, "little") + n.to_bytes(4, "little")
+    raw, folded = _described(modes) if runs else (bytes(m | (modes[i + 1] << 4 if i + 1 < n else 0) for i, m in enumerate(modes) if i % 2 == 0), False)
+    flags = folded | (2 if delta and runs else 0)
+    head = (GROUPED_RUNS if runs else GROUPED) + BLOCK.to_bytes(2, "little") + flags.to_bytes(2, "little") + len(data).to_bytes(4, "little") + n.to_bytes(4, "little")
     return head + (len(raw).to_bytes(4, "little") if runs else b"") + raw + b"".join(bytes(bodies[m]) for m in sorted(bodies) if m)
 
 
@@ -261,16 +282,37 @@ def _motion(data: bytes, n: int, folded: int) -> np.ndarray:
     return v
 
 
+def row_residual(picture: bytes, width: int, height: int) -> bytes:
+    """Differences along each row of each plane, modulo 256, the first sample as it is."""
+    return b"".join((np.diff(p, axis=1, prepend=0) % 256).astype(np.uint8).tobytes() for p in split_planes(picture, width, height))
+
+
+def moved_picture(previous: bytes, width: int, height: int, vectors: np.ndarray) -> bytes:
+    """The picture before, each cell displaced by its vector; what a payload without residual decodes to."""
+    nx, ny = -(-width // CELL), -(-height // CELL)
+    raw = np.asarray(vectors, np.int64).astype(np.int8).tobytes()
+    empty = pack_blocks(bytes(width * height * 3 // 2))
+    return decode(_motion_head(nx, ny, False, raw, empty) + raw + empty, width, height, previous, False)
+
+
+def _motion_head(nx: int, ny: int, folded: bool, motion: bytes, rest: bytes) -> bytes:
+    return MOTION_MAP + b"".join(int(v).to_bytes(k, "little") for v, k in ((CELL, 2), (folded, 2), (nx, 2), (ny, 2), (len(motion), 4), (len(rest), 4)))
+
+
+def pack_predicted(rest: bytes, width: int, height: int, vectors: np.ndarray | None) -> bytes:
+    """A predicted payload of generation 6: residual bytes, and a motion map unless ``vectors`` is None."""
+    body = pack_blocks(rest, True)
+    if vectors is None:
+        return wrap(body)
+    motion, folded = pack_motion_map(vectors)
+    return wrap(_motion_head(-(-width // CELL), -(-height // CELL), folded, motion, body) + motion + body)
+
+
 def encode(picture: bytes, width: int, height: int, previous: bytes | None = None, vectors: np.ndarray | None = None) -> bytes:
     """A lossless payload of generation 6: a key picture, or one predicted from ``previous`` with a vector per cell."""
     if previous is None:
-        rest = b"".join((np.diff(p, axis=1, prepend=0) % 256).astype(np.uint8).tobytes() for p in split_planes(picture, width, height))
-        return wrap(pack_blocks(rest))
-    nx, ny = -(-width // CELL), -(-height // CELL)
-    vectors = np.zeros((ny * nx, 2), np.int64) if vectors is None else np.asarray(vectors).reshape(-1, 2)
-    raw = vectors.astype(np.int8).tobytes()
-    head = MOTION_MAP + b"".join(v.to_bytes(k, "little") for v, k in ((CELL, 2), (0, 2), (nx, 2), (ny, 2), (len(raw), 4)))
-    empty = pack_blocks(bytes(width * height * 3 // 2))
-    moved = decode(head + len(empty).to_bytes(4, "little") + raw + empty, width, height, previous, False)
-    rest = pack_blocks(((np.frombuffer(picture, np.uint8).astype(int) - np.frombuffer(moved, np.uint8)) % 256).astype(np.uint8).tobytes())
-    return wrap(head + len(rest).to_bytes(4, "little") + raw + rest if vectors.any() else rest)
+        return wrap(pack_blocks(row_residual(picture, width, height)))
+    vectors = None if vectors is None else np.asarray(vectors).reshape(-1, 2)
+    moved = previous if vectors is None else moved_picture(previous, width, height, vectors)
+    rest = ((np.frombuffer(picture, np.uint8).astype(int) - np.frombuffer(moved, np.uint8)) % 256).astype(np.uint8).tobytes()
+    return pack_predicted(rest, width, height, vectors)

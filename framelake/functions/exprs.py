@@ -1,7 +1,7 @@
 """Exact-integer scalar functions as Spark columns.
 
-All arguments are columns (or ints, where a parameter says so); all results stay in
-generated code. Division truncates toward zero unless a name says otherwise, and nothing relies on
+All arguments are columns (or ints, where a parameter says so). Scalar expressions are compiled with the
+query; array lambdas, where a function uses them, are interpreted by Spark. Division truncates toward zero unless a name says otherwise, and nothing relies on
 overflow, which raises under ANSI mode.
 """
 
@@ -173,6 +173,7 @@ def halve_vector(v) -> Column:
 
 def yuv_to_rgb(y, u, v) -> list[Column]:
     """BT.601 limited-range samples (0 to 255) as red, green and blue in 0 to 1."""
+    # The standard's factors.
     y = 1.164383 * (col(y) / 255.0 - 0.0627451)
     u, v = col(u) / 255.0 - 0.5, col(v) / 255.0 - 0.5
     whole = (y + 1.596027 * v, y - 0.391762 * u - 0.812968 * v, y + 2.017232 * u)
@@ -180,16 +181,59 @@ def yuv_to_rgb(y, u, v) -> list[Column]:
 
 
 def buffer_frames(frame_bytes, budget=64 << 20, least=8, most=32) -> Column:
-    return clamp(idiv(F.lit(budget), frame_bytes), F.lit(least), F.lit(most))
+    """Pictures that fit in a budget, rounded down; for a picture of no size as for one of one byte."""
+    return clamp(idiv(F.lit(budget), F.greatest(col(frame_bytes), F.lit(1))), F.lit(least), F.lit(most))
+
+
+def buffer_frames_rounded(w, h) -> Column:
+    """Pictures of about 64 MiB, rounded half to even, from 8 to 32; 16 for a picture of no size."""
+    mib = col(w) * col(h) * 1.5 / (1 << 20)
+    return F.when(mib <= 0, 16).otherwise(clamp(F.bround(F.lit(64.0) / mib).cast("int"), F.lit(8), F.lit(32)))
+
+
+LARGEST_DENOMINATOR = 100_000
+
+
+def _limited(num: Column, den: Column) -> Column:
+    """The struct (num, den) nearest to a fraction with a denominator of LARGEST_DENOMINATOR at most: its convergents, and
+    the last step between two of them."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = F.struct(zero.alias("p0"), one.alias("q0"), one.alias("p1"), zero.alias("q1"), num.alias("n"), den.alias("d"), F.lit(False).alias("over"))
+
+    def step(s: Column, _: Column) -> Column:
+        a = idiv(s["n"], F.greatest(s["d"], one))
+        q = s["q0"] + a * s["q1"]
+        over = s["over"] | (s["d"] == 0) | (q > LARGEST_DENOMINATOR)
+        on = lambda name, v: F.when(over, s[name]).otherwise(v).alias(name)
+        return F.struct(on("p0", s["p1"]), on("q0", s["q1"]), on("p1", s["p0"] + a * s["p1"]), on("q1", q), on("n", s["d"]), on("d", s["n"] - a * s["d"]), over.alias("over"))
+
+    def last(s: Column) -> Column:
+        k = idiv(F.lit(LARGEST_DENOMINATOR) - s["q0"], F.greatest(s["q1"], one))
+        p, q = s["p0"] + k * s["p1"], s["q0"] + k * s["q1"]
+        near = 2 * s["d"] * q <= den
+        return F.struct(F.when(near, s["p1"]).otherwise(p).alias("num"), F.when(near, s["q1"]).otherwise(q).alias("den"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, last)
+    return F.when(den <= LARGEST_DENOMINATOR, F.struct(num.alias("num"), den.alias("den"))).otherwise(found)
 
 
 def rate_parts(text) -> list[Column]:
-    """Numerator and denominator of "num/den" or "num"; 30 and 1 where it is no positive rate."""
-    parts = F.split(col(text), "/")
-    num = F.try_element_at(parts, F.lit(1)).try_cast("long")
-    den = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).try_cast("long")
-    fine = F.coalesce((num > 0) & (den > 0) & (F.size(parts) <= 2), F.lit(False))
-    return [F.when(fine, num).otherwise(30), F.when(fine, den).otherwise(1)]
+    """Numerator and denominator of a rate, "num/den", "num" or a decimal, reduced, with a denominator of 100,000 at most; 30 and 1
+    where it is no positive rate."""
+    text = F.trim(col(text))
+    part = lambda i: F.nullif(F.regexp_extract(text, r"^\+?(?:([0-9]{1,18})/([0-9]{1,18})|([0-9]{0,12})(?:\.([0-9]{0,6}))?)$", i), F.lit(""))
+    whole, places = F.coalesce(part(3), F.lit("")), F.coalesce(part(4), F.lit(""))
+    num = F.coalesce(part(1), F.nullif(F.concat(whole, places), F.lit(""))).try_cast("long")
+    den = F.when(part(1).isNotNull(), part(2).try_cast("long")).otherwise(F.pow(F.lit(10), F.length(places)).cast("long"))
+    fine = F.coalesce((num > 0) & (den > 0), F.lit(False))
+    euclid = F.struct(num.alias("a"), den.alias("b"))
+    turn = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1).cast("long"))).alias("b")))
+    # the remainder halves at least every second step
+    most = F.ceil(2 * F.log2(F.greatest(F.least(num, den), F.lit(1)).cast("double"))).cast("int") + 3
+    common = F.when(fine, F.aggregate(F.sequence(F.lit(1), most), euclid, turn, lambda s: s["a"]))
+    found = F.when(fine, _limited(idiv(num, common), idiv(den, common)))
+    found = F.when(found["num"] > 0, found)
+    return [F.coalesce(found["num"], F.lit(30).cast("long")), F.coalesce(found["den"], F.lit(1).cast("long"))]
 
 
 def even_size(v) -> Column:
@@ -213,8 +257,9 @@ def macroblocks(w, h) -> Column:
 
 
 def clock_text(seconds) -> Column:
+    """Minutes and seconds, and hours before them from one hour on."""
     s = F.floor(col(seconds)).cast("long")
-    return F.format_string("%02d:%02d:%02d", idiv(s, 3600), idiv(s % 3600, 60), s % 60)
+    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", idiv(s, 3600), idiv(s, 60) % 60, s % 60)).otherwise(F.format_string("%02d:%02d", idiv(s, 60), s % 60))
 
 
 def popcount(v) -> Column:

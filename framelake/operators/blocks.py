@@ -2,7 +2,7 @@
 
 The transform of a whole Arrow batch of blocks is one matrix product, exact in doubles for
 any sample range in use, so a block never leaves its row: no shuffle, no explosion into samples.
-Everything after it is array functions in generated code.
+What comes after it is array functions, which Spark interprets row by row; no row is exploded or shuffled.
 """
 
 from __future__ import annotations

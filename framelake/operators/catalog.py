@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import layout
 from framelake.operators.ordered import record_offsets, valid_prefix
 
 
@@ -83,3 +84,15 @@ def dropped(shown: DataFrame, key: list[str]) -> DataFrame:
     return shown.withColumn("skipped", F.greatest(step - 1, F.lit(0)))
 
 
+
+
+def frame_range(frames: DataFrame, start: int, count: int | None = None) -> DataFrame:
+    """The frames from ``start`` on, ``count`` of them at most; a filter on the number, which sources push down."""
+    kept = frames.where(F.col("frame_no") >= start)
+    return kept if count is None else kept.where(F.col("frame_no") < start + count)
+
+
+def with_faults(records: DataFrame) -> DataFrame:
+    """Frame records (mark_ok, frame_type, codec, number, frame_no, packed_size, and end: bytes past the file's end) with fault: the first rule that each breaks."""
+    rule = layout.record_fault(*[F.col(c) for c in ("mark_ok", "frame_type", "codec", "number", "frame_no", "packed_size", "end")], F.lit(0))
+    return records.withColumn("fault", rule)

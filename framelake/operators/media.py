@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.codecs.bits import Malformed
+from framelake.functions import layout
 from framelake.operators import catalog
 from framelake.sources import container as C
 
@@ -38,6 +39,17 @@ def structure_faults(spark: SparkSession, path: str) -> DataFrame:
     return broken.distinct().union(differ).union(moved).union(count)
 
 
+def audio_info(spark: SparkSession, path: str) -> DataFrame:
+    """One row per sound file: its header's fields, duration and size, or an error. Headers are cut from the files in expressions."""
+    fields = [("major", 4, 1), ("minor", 5, 1), ("sample_rate", 12, 4), ("channels", 16, 2), ("code_bits", 18, 2), ("block_frames", 20, 4), ("quality", 24, 4), ("frames", 28, 8), ("blocks", 36, 8)]
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("file_size"), F.substring("content", 1, 64).alias("data"))
+    values = {name: layout.number(F.col("data"), at, n).cast("long") for name, at, n in fields}
+    no_mark = (F.octet_length("data") < 64) | (F.substring("data", 1, 4) != F.lit(C.AUDIO_FILE_MARK)) | (F.substring("data", 9, 4) != F.lit(C.AUDIO_CODEC))
+    fault = F.when(no_mark, "no audio file").otherwise(layout.audio_fault(values["channels"], values["code_bits"], values["block_frames"], values["sample_rate"]))
+    seconds = F.try_divide(values["frames"].cast("double"), values["sample_rate"].cast("double"))
+    return files.select("path", "file_size", *[v.alias(k) for k, v in values.items()], seconds.alias("duration_seconds"), fault.alias("error"))
+
+
 def _rewrite(source: str, target: str, header: dict, sections: list) -> None:
     """A new file of a header and sections, each bytes or a (start, length) of the source; never in place."""
     part = f"{target}.new-{uuid.uuid4().hex}"
@@ -98,11 +110,27 @@ def add_audio(source: str, target: str, audio: bytes) -> None:
     _rewrite(source, target, header, [(C.HEADER.size, size - C.HEADER.size), record])
 
 
-def read_raw(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """(frame_no, picture) of headerless planar 4:2:0 pictures, by fixed-length records; a cut last one is an error."""
+def read_raw(spark: SparkSession, path: str, width: int, height: int, part_pictures: int = 64) -> DataFrame:
+    """(path, frame_no, picture) of headerless planar 4:2:0 pictures; a cut last one is an error. Files are listed with their sizes, and
+    tasks read their share of the pictures, each at its place."""
     size = width * height * 3 // 2
-    numbered = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(numbered, "frame_no long, picture binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    whole = F.when(F.col("length") % size != 0, F.raise_error(F.lit("a cut picture at the end"))).otherwise(F.col("length"))
+    parts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(0, length div {size} - 1)"), F.lit(part_pictures).cast("long"))).alias("first"), (whole / size).cast("long").alias("n")).where("n > 0")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, at = fs.FileSystem.from_uri(r["path"].replace("file:///", "file:/").replace("file:/", "file:///"))
+                with store.open_input_file(at) as f:
+                    f.seek(r["first"] * size)
+                    for n in range(r["first"], min(r["first"] + part_pictures, r["n"])):
+                        yield pa.RecordBatch.from_pydict({"path": [r["path"]], "frame_no": [n], "picture": pa.array([f.read(size)], pa.binary())})
+
+    spread = parts.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "first")
+    return spread.mapInArrow(read, "path string, frame_no long, picture binary")
 
 
 def planes(decoded: DataFrame, width: int, height: int) -> DataFrame:

@@ -52,12 +52,14 @@ def block_score(dx: Column, dy: Column, width: int, height: int, stride: int, sa
 
 
 def best_motion(df: DataFrame, key: list[str], width: int, height: int, search: int = 2, stride: int = 2) -> DataFrame:
-    """``key``, zero_score, dx, dy, score and accepted: the least cost of all displacements up to
-    ``search``, the first in raster order of equals, and whether it beats no motion by enough.
+    """``key``, zero_score, dx, dy, score and accepted: the least cost of the displacements tried, the first in raster order of
+    equals, and whether it beats no motion by enough.
 
-    Candidates are a literal array of each row: nothing is joined, and a row keeps only the least.
+    Up to a search of 2 all displacements are tried. Beyond that every second one is, and then the places next to the best of
+    them (next to none, if none of them beats it). Candidates are arrays of each row: nothing is joined.
     """
-    offsets = [(dx, dy) for dy in range(-search, search + 1) for dx in range(-search, search + 1) if dx or dy]
+    inc = 1 if search <= 2 else 2
+    offsets = [(dx, dy) for dy in range(-search, search + 1, inc) for dx in range(-search, search + 1, inc) if dx or dy]
     cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for i, (x, y) in enumerate(offsets)])
 
     def cost(c: Column) -> Column:
@@ -65,7 +67,14 @@ def best_motion(df: DataFrame, key: list[str], width: int, height: int, search:
         return F.struct(score.alias("score"), c["ord"].alias("ord"), c["dx"].alias("dx"), c["dy"].alias("dy"))
 
     zero = block_score(F.lit(0), F.lit(0), width, height, stride)
-    found = df.where(F.col("previous").isNotNull()).select(*key, zero.alias("zero_score"), F.array_min(F.transform(cells, cost)).alias("b"))
+    found = df.where(F.col("previous").isNotNull()).withColumns({"zero_score": zero, "b": F.array_min(F.transform(cells, cost))})
+    if inc > 1:
+        beaten = F.col("b.score") < F.col("zero_score")
+        at = lambda name: F.when(beaten, F.col(f"b.{name}")).otherwise(0)
+        near = [(x, y) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+        around = F.array(*[F.struct(F.lit(1000 + i).alias("ord"), (at("dx") + x).alias("dx"), (at("dy") + y).alias("dy")) for i, (x, y) in enumerate(near)])
+        inside = F.filter(around, lambda c: (F.abs(c["dx"]) <= search) & (F.abs(c["dy"]) <= search) & ((c["dx"] != 0) | (c["dy"] != 0)))
+        found = found.withColumn("b", F.array_min(F.concat(F.array("b"), F.transform(inside, cost))))
     s, z = F.col("b.score"), F.col("zero_score")
     wins = (z > 256) & (s + 384 < z) & (s * 100 < z * 72)
     return found.select(*key, "zero_score", F.col("b.dx").alias("dx"), F.col("b.dy").alias("dy"), s.alias("score"), wins.alias("accepted"))
@@ -84,8 +93,3 @@ def least_cost(candidates: DataFrame, key: str, weight: int = 1) -> DataFrame:
     cost = F.col("distortion") + weight * F.col("rate")
     best = F.min(F.struct(cost.alias("cost"), "ord", "distortion", "rate")).alias("b")
     return candidates.groupBy(key).agg(best).select(key, F.col("b.ord").alias("ord"), F.col("b.cost").alias("cost"), F.col("b.distortion").alias("distortion"), F.col("b.rate").alias("rate"))
-
-
-def cell_of(x: Column, y: Column, grid_width: Column | int, size: int) -> Column:
-    """Number of the grid cell that a sample lies in."""
-    return E.idiv(y, size) * E.col(grid_width) + E.idiv(x, size)

@@ -53,6 +53,12 @@ def record_offsets(df: DataFrame, key: list[str], order: str, size: str, head: i
     return df.withColumn("record_offset", F.coalesce(F.sum(F.col(size) + head).over(w), F.lit(0)) + start)
 
 
+def running_before(df: DataFrame, key: list[str], order: str, value: str, target: str) -> DataFrame:
+    """``df`` with ``target``: the sum of ``value`` over the rows of the key before each."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(target, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
 def groups_of_pictures(df: DataFrame, key: list[str], order: str, kind: str = "frame_type") -> DataFrame:
     """``df`` with gop (key frames up to here) and since_key (frames since the last one; null before the first)."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -66,20 +72,16 @@ def not_rising(df: DataFrame, key: list[str], order: str, value: str) -> DataFra
     return df.withColumn("__before", F.lag(value).over(w)).where(F.col(value) <= F.col("__before")).drop("__before")
 
 
-def grid_median(df: DataFrame, key: list[str], x: str, y: str, value: str, corner: str = "right") -> DataFrame:
-    """``df`` with predicted: the median of the left, upper and upper right (or upper left)
-    neighbour in a grid. A missing neighbour is 0; a missing upper right one is the upper one.
+def grid_median(values: Column | str, width: int, height: int, corner: str = "right") -> Column:
+    """For each value of a grid in raster order the median of its left, upper and upper right (or upper left) neighbour. A missing
+    neighbour is 0; a missing upper right one is the upper one. The grid is one row's array, so nothing is joined."""
+    values = E.col(values)
 
-    The three neighbours come by one pass each: left along the row, upper ones along the
-    column of the row above, by equi-joins on shifted coordinates.
-    """
-    base = df.select(*key, x, y, value)
-    side = 1 if corner == "right" else -1
-    left = base.select(*key, (F.col(x) + 1).alias(x), y, F.col(value).alias("__l"))
-    top = base.select(*key, x, (F.col(y) + 1).alias(y), F.col(value).alias("__t"))
-    diagonal = base.select(*key, (F.col(x) - side).alias(x), (F.col(y) + 1).alias(y), F.col(value).alias("__d"))
-    on = [*key, x, y]
-    joined = df.join(left, on, "left").join(top, on, "left").join(diagonal, on, "left")
-    t = F.coalesce("__t", F.lit(0))
-    d = F.coalesce(F.col("__d"), t) if corner == "right" else F.coalesce("__d", F.lit(0))
-    return joined.withColumn("predicted", E.median3(F.coalesce("__l", F.lit(0)), t, d)).drop("__l", "__t", "__d")
+    def one(i: Column) -> Column:
+        x, y = i % width, E.idiv(i, width)
+        at = lambda dx, dy, inside: F.when(inside, F.element_at(values, (i + 1 + dx + dy * width).cast("int")))
+        top = F.coalesce(at(0, -1, y > 0), F.lit(0))
+        side = F.coalesce(at(1, -1, (y > 0) & (x < width - 1)), top) if corner == "right" else F.coalesce(at(-1, -1, (y > 0) & (x > 0)), F.lit(0))
+        return E.median3(F.coalesce(at(-1, 0, x > 0), F.lit(0)), top, side)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)

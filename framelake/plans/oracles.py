@@ -213,14 +213,14 @@ SELECT p_partkey, preset, quality, key_interval, finalists FROM part JOIN p ON p
 c AS (SELECT *, CAST((dx + 256) % 256 + ((dy + 256) % 256) * 256 AS INTEGER) AS packed FROM m)
 SELECT dx, dy, n, packed, dx AS back_x, dy AS back_y, CAST(trunc(dx / 2) AS BIGINT) AS chroma_dx, CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE 1 + {_vsize(_zig("dx"))} + {_vsize(_zig("dy"))} END AS rate, CAST(bit_count(packed) AS INTEGER) AS ones FROM c""",
     "time_marks": f"""WITH {INDEX}, t AS (SELECT stream, frame_no, CAST(frame_no AS BIGINT) * 1001000000 // 30000 AS pts FROM ix)
-SELECT stream, frame_no, pts, pts * 30000 // 1001000000 AS back, printf('%02d:%02d:%02d', pts // 3600000000, pts // 60000000 % 60, pts // 1000000 % 60) AS clock FROM t""",
+SELECT stream, frame_no, pts, pts * 30000 // 1001000000 AS back, CASE WHEN pts < 3600000000 THEN printf('%02d:%02d', pts // 60000000, pts // 1000000 % 60) ELSE printf('%d:%02d:%02d', pts // 3600000000, pts // 60000000 % 60, pts // 1000000 % 60) END AS clock FROM t""",
     "sample_quantizer": f"""WITH a AS (SELECT p_partkey, p_partkey % 256 AS v, p_size * 2 AS quality FROM part),
 b AS (SELECT *, {_luma} AS st, {_fast} AS dz, {_res} AS rs, {_wrap.format(v="(v - 17)")} AS d FROM a)
 SELECT p_partkey, CAST(least((v + st // 2) // st * st, 255) AS BIGINT) AS sample, CAST(CASE WHEN abs(d) <= dz THEN 0 WHEN rs <= 1 THEN d ELSE sign(d) * least((abs(d) + rs // 2) // rs * rs, 127) END AS BIGINT) AS residual,
   CAST(CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) + 1 END AS INTEGER) AS width, d AS back, CAST(sign(d) * ((abs(d) + 3) // 7) AS BIGINT) AS rounded FROM b""",
     "picture_sizes": """WITH a AS (SELECT p_partkey, (p_size * 40 + 16) // 2 * 2 AS w, (p_partkey % 1000 + 17) // 2 * 2 AS h FROM part)
 SELECT p_partkey, w, h, (w + 7) // 8 * ((h + 7) // 8) + 2 * ((w // 2 + 7) // 8 * ((h // 2 + 7) // 8)) AS blocks, (w + 15) // 16 * ((h + 15) // 16) AS macroblocks,
-  greatest(8, least(32, 67108864 // (w * h * 3 // 2))) AS buffered, 8 + (2 * w * 6 + 7) // 8 AS audio_bytes, greatest(4, least(24, 100663296 // (w * h * 3 // 2))) AS player_buffered FROM a""",
+  CAST(greatest(8, least(32, round_even(64.0::DOUBLE / (w * h * 1.5::DOUBLE / 1048576.0::DOUBLE), 0))) AS INTEGER) AS buffered, greatest(8, least(32, 67108864 // (w * h * 3 // 2))) AS buffered_down, 8 + (2 * w * 6 + 7) // 8 AS audio_bytes, greatest(4, least(24, 100663296 // (w * h * 3 // 2))) AS player_buffered FROM a""",
     "drift_stats": f"""WITH {TELEMETRY} SELECT stream, count(*) AS samples, CAST(sum(abs(drift_us)) AS BIGINT) AS sum_abs_drift_us, max(abs(drift_us)) AS max_abs_drift_us, CAST(sum(dropped) AS BIGINT) AS drops,
   count(*) FILTER (queue_depth = 0) AS underruns, CAST(sum(abs(drift_us)) AS DOUBLE) / count(*) AS avg_abs_drift_us FROM tm GROUP BY 1""",
     "late_drops": f"""WITH {TELEMETRY} SELECT stream, count(*) FILTER (drift_us * 30 > 1250000) AS late, max(drift_us) FILTER (drift_us * 30 > 1250000) AS max_late_us, CAST(sum(drift_us) FILTER (drift_us * 30 > 1250000) AS BIGINT) AS sum_late_us FROM tm GROUP BY 1""",
@@ -234,4 +234,9 @@ SELECT stream, from_us, wall_us - from_us AS gap_us FROM g WHERE wall_us - from_
     "headroom": "SELECT event_id, (value + 20) / 60.0::DOUBLE AS headroom, CASE WHEN (value + 20) / 60.0::DOUBLE >= 1.8 THEN 'good' WHEN (value + 20) / 60.0::DOUBLE >= 1.15 THEN 'borderline' ELSE 'too slow' END AS headroom_class FROM events",
     "psnr_pooled": f"""WITH {TRANSFORM}, a AS (SELECT quality, CAST(sum(sse) AS BIGINT) AS sse, count(*) * 64 AS samples FROM sse GROUP BY 1)
 SELECT quality, sse, samples, CAST(sse AS DOUBLE) / samples AS mse, CASE WHEN sse = 0 THEN 'Infinity'::DOUBLE ELSE 10 * log10(65025.0::DOUBLE / (CAST(sse AS DOUBLE) / samples)) END AS psnr_db FROM a""",
+    "crc_by_document": """WITH RECURSIVE k(n, i, c) AS (SELECT range, 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT n, i + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM k WHERE i < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM k WHERE i = 8),
+d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))) AS b FROM d)
+SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), CAST(4294967295 AS BIGINT)) AS crc32 FROM b, t""",
 }

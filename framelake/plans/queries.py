@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as E
-from framelake.operators import audio, blocks, catalog, costs, motion, ordered, quality, reports, telemetry
+from framelake.operators import audio, blocks, catalog, costs, kernels, motion, ordered, quality, reports, telemetry
+from framelake.plans import media_queries
 from framelake.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +66,7 @@ def rice_k2_bit_cost(spark, sf_dir):
 
 
 def _modes(spark, sf_dir, rice):
-    df = costs.statistics(A.text_blocks(spark, sf_dir).withColumn("codes", costs.codes("bytes")))
-    df = costs.with_modes(df, rice=rice)
+    df = costs.with_modes(kernels.code_statistics(A.byte_blocks(spark, sf_dir)), rice=rice)
     return df.groupBy("doc_id", "mode").agg(F.count("*").alias("blocks"), F.sum("mode_bytes").alias("mode_bytes"), F.sum("nonzero").alias("nonzero"), F.max("width").alias("width"))
 
 
@@ -78,14 +78,16 @@ def block_modes_rice(spark, sf_dir):
     return _modes(spark, sf_dir, True)
 
 
+def _deltas(spark, sf_dir):
+    return kernels.byte_deltas(A.byte_blocks(spark, sf_dir)).select("doc_id", "block", "delta")
+
+
 def byte_delta(spark, sf_dir):
-    delta = ordered.delta_mod256("bytes")
-    return A.text_blocks(spark, sf_dir).select("doc_id", "block", F.array_join(delta.cast("array<string>"), " ").alias("delta"))
+    return _deltas(spark, sf_dir).select("doc_id", "block", F.array_join(F.col("delta").cast("array<string>"), " ").alias("delta"))
 
 
 def byte_delta_restore(spark, sf_dir):
-    back = ordered.restore_mod256(ordered.delta_mod256("bytes"))
-    return A.text_blocks(spark, sf_dir).select("doc_id", "block", F.array_join(back.cast("array<string>"), " ").alias("bytes"))
+    return kernels.byte_sums(_deltas(spark, sf_dir)).select("doc_id", "block", F.array_join(F.col("bytes").cast("array<string>"), " ").alias("bytes"))
 
 
 def run_islands_256(spark, sf_dir):
@@ -199,19 +201,17 @@ def rd_argmin(spark, sf_dir):
     return motion.least_cost(A.line_candidates(spark, sf_dir), "block")
 
 
-def _grid(spark, sf_dir):
-    cells = A.vec_blocks(spark, sf_dir).select("vec_id", F.posexplode("samples").alias("i", "value"))
-    return cells.select("vec_id", (F.col("i") % 8).alias("x"), E.idiv("i", 8).cast("int").alias("y"), "value")
-
-
 def median_predictor(spark, sf_dir):
-    df = ordered.grid_median(_grid(spark, sf_dir), ["vec_id"], "x", "y", "value")
-    return df.select("vec_id", "x", "y", "predicted", E.varint_size(E.zigzag(F.col("value") - F.col("predicted"))).alias("bytes"))
+    cells = F.arrays_zip(F.col("samples").alias("value"), ordered.grid_median("samples", 8, 8).alias("predicted"))
+    df = A.vec_blocks(spark, sf_dir).select("vec_id", F.posexplode(cells).alias("i", "c"))
+    bytes_ = E.varint_size(E.zigzag(F.col("c.value") - F.col("c.predicted")))
+    return df.select("vec_id", (F.col("i") % 8).alias("x"), E.idiv("i", 8).cast("int").alias("y"), "c.predicted", bytes_.alias("bytes"))
 
 
 def dc_predictor(spark, sf_dir):
-    df = ordered.grid_median(_grid(spark, sf_dir), ["vec_id"], "x", "y", "value", corner="left")
-    return df.groupBy("vec_id").agg(F.sum(F.abs(F.col("value") - F.col("predicted"))).alias("abs_residual"), F.count_if(F.col("value") == F.col("predicted")).alias("hits"))
+    off = F.zip_with("samples", ordered.grid_median("samples", 8, 8, corner="left"), lambda a, b: a - b)
+    df = A.vec_blocks(spark, sf_dir).select("vec_id", off.alias("off"))
+    return df.select("vec_id", blocks.total(F.transform("off", lambda x: F.abs(x))).alias("abs_residual"), F.size(F.filter("off", lambda x: x == 0)).cast("long").alias("hits"))
 
 
 def yuv_to_rgb(spark, sf_dir):
@@ -266,7 +266,7 @@ def sample_quantizer(spark, sf_dir):
 def picture_sizes(spark, sf_dir):
     df = A.table(spark, sf_dir, "part").select("p_partkey", E.even_size(F.col("p_size") * 40 + 16).alias("w"), E.even_size(F.col("p_partkey") % 1000 + 17).alias("h"))
     size = E.idiv(F.col("w") * F.col("h") * 3, 2)
-    return df.select("p_partkey", "w", "h", E.blocks8("w", "h").alias("blocks"), E.macroblocks("w", "h").alias("macroblocks"), E.buffer_frames(size).alias("buffered"), E.audio_record_bytes(F.lit(2), F.lit(6), F.col("w")).alias("audio_bytes"), E.buffer_frames(size, 96 << 20, 4, 24).alias("player_buffered"))
+    return df.select("p_partkey", "w", "h", E.blocks8("w", "h").alias("blocks"), E.macroblocks("w", "h").alias("macroblocks"), E.buffer_frames_rounded("w", "h").alias("buffered"), E.buffer_frames(size).alias("buffered_down"), E.audio_record_bytes(F.lit(2), F.lit(6), F.col("w")).alias("audio_bytes"), E.buffer_frames(size, 96 << 20, 4, 24).alias("player_buffered"))
 
 
 def drift_stats(spark, sf_dir):
@@ -313,4 +313,4 @@ QUERIES: dict[str, Query] = {
         block_motion_accept, candidate_topk, rd_argmin, median_predictor, dc_predictor, yuv_to_rgb, qstep_table, quality_table, preset_parts, motion_codes,
         time_marks, sample_quantizer, picture_sizes, drift_stats, late_drops, speed_windows, freeze_events, profile_kv, headroom, psnr_pooled, crc_by_document,
     )
-}
+} | media_queries.QUERIES

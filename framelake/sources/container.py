@@ -8,7 +8,8 @@
 encoder's raw stream (options ``fps_num`` and ``fps_den``).
 
 ``frames`` and ``records`` push a filter on frame_no down to the groups of pictures that can
-hold it. ``mode`` is ``failfast`` or ``permissive`` (a bad file or record is a row with ``error``).
+hold it. The driver only lists files: a large one is read in as many parts as its size asks for, and each part finds
+its groups of pictures in the index itself. ``mode`` is ``failfast`` or ``permissive`` (a bad file or record is a row with ``error``).
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ STREAM_MARKS = {b"GHS6": 6, b"GHS7": 7, b"GHS8": 8, b"GHS9": 9}
 FILE_MARK, OLD_MARK, RECORD_MARK, AUDIO_MARK, INDEX_MARK = b"GHV1", b"GVID", b"VFRM", b"AUD0", b"INDX"
 AUDIO_FILE_MARK, AUDIO_CODEC = b"GHAF", b"GHA1"
 LARGEST_PAYLOAD = 512 << 20
+COPIED = 4 << 20
 FIELDS = (
     "major minor header_size flags width height fps_num fps_den frame_count keyint quality audio_rate audio_channels audio_codec audio_samples "
     "frames_offset audio_offset index_offset duration_us"
@@ -136,10 +138,11 @@ def stream_records(f, size: int, fps: tuple[int, int]) -> Iterator[tuple]:
 
 @dataclass
 class Part(InputPartition):
+    """Part ``number`` of ``of`` of a file: the groups of pictures of its share of the index."""
+
     path: str
-    first: int = 0
-    offsets: tuple = ()
-    error: str | None = None
+    number: int = 0
+    of: int = 1
 
 
 def files_of(path: str) -> list[str]:
@@ -154,6 +157,7 @@ class Reader(DataSourceReader):
         self.table, self.path = options.get("table", "frames"), options["path"]
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
         self.low, self.high = 0, 1 << 62
+        self.part_bytes = int(options.get("part_bytes", 64 << 20))
         self.fps = int(options.get("fps_num", 30)), int(options.get("fps_den", 1))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -170,21 +174,20 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for path in files_of(self.path):
-            if self.table not in ("frames", "records"):
-                parts.append(Part(path))
-                continue
-            try:
-                with open(path, "rb") as f:
-                    entries = read_index(f, parse_header(f.read(HEADER.size)))
-            except Malformed as e:
-                parts.append(Part(path, error=str(e)))
-                continue
-            starts = [i for i, (_, kind) in enumerate(entries) if kind == 0 or i == 0]
-            for a, b in zip(starts, [*starts[1:], len(entries)]):
-                if a <= self.high and b > self.low:
-                    parts.append(Part(path, a, tuple(o for o, _ in entries[a:b])))
+            n = 1
+            if self.table in ("frames", "records"):
+                n = max(1, -(-os.path.getsize(path) // self.part_bytes)) if os.path.exists(path) else 1
+            parts += [Part(path, i, n) for i in range(n)]
         return parts
 
+    def _offsets(self, f, h: dict, part: Part) -> Iterator[int]:
+        """Where the records stand of this part's groups of pictures that can hold a wanted number."""
+        entries = read_index(f, h)
+        starts = [i for i, (_, kind) in enumerate(entries) if kind == 0 or i == 0]
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(entries)])):
+            if i * part.of // max(len(starts), 1) == part.number and a <= self.high and b > self.low:
+                yield from (offset for offset, _ in entries[a:b])
+
     def _failed(self, path: str, error: Exception | str) -> tuple:
         if not self.permissive:
             raise Malformed(f"{path}: {error}")
@@ -192,14 +195,16 @@ class Reader(DataSourceReader):
 
     def read(self, part: Part) -> Iterator[tuple]:
         path = part.path
-        if part.error:
-            yield self._failed(path, part.error)
+        try:
+            size = os.path.getsize(path)
+            f = open(path, "rb")
+        except OSError as e:
+            yield self._failed(path, e)
             return
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
+        with f:
             try:
                 if self.table in ("frames", "records"):
-                    for at in part.offsets:
+                    for at in self._offsets(f, parse_header(f.read(HEADER.size)), part):
                         yield (path, *read_record(f, at, size, self.table == "frames"), None)
                     return
                 if self.table == "stream":
@@ -229,8 +234,9 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Frame records to one container. Tasks write parts beside it; the commit knows all sizes, so
-    offsets are computed before a byte of the file is written, and nothing is patched."""
+    """Frame records to one container. Tasks write parts beside it, in a folder that the driver sees as well; the commit knows
+    all sizes, so offsets are computed before a byte of the file is written, and nothing is patched. One file is one
+    sequence of bytes, so the parts are copied together in one place, in pieces of a few MB."""
 
     def __init__(self, options: dict, schema):
         self.options, self.target = options, options["path"].removeprefix("file://")
@@ -259,7 +265,8 @@ class Writer(DataSourceWriter):
             out.write(pack_header(h))
             for _, kind, path, start, n in records:
                 parts[path].seek(start)
-                out.write(parts[path].read(n))
+                for k in range(0, n, COPIED):  # a piece at a time, however large a payload is
+                    out.write(parts[path].read(min(COPIED, n - k)))
                 entries.append((at, kind))
                 at += n
             out.write(INDEX_HEAD.pack(INDEX_MARK, len(entries)) + b"".join(INDEX_ENTRY.pack(*e) for e in entries))

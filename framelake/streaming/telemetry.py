@@ -42,10 +42,17 @@ def on_time(samples: DataFrame, fps: int = 30, frames: float = 1.25) -> DataFram
     return samples.where(F.col("drift_us") <= frames * 1_000_000 / fps)
 
 
-def latched_events(samples: DataFrame, gap_us: int = 500_000) -> DataFrame:
-    """One event per freeze (no sample for more than ``gap_us``) and per underrun (queue empty), until it ends."""
+def latched_events(samples: DataFrame, gap_us: int = 500_000, forget_ms: int | None = None) -> DataFrame:
+    """One event per freeze (no sample for more than ``gap_us``) and per underrun (queue empty), until it ends.
+
+    With ``forget_ms`` a stream that sends nothing for so long is forgotten, so state doesn't grow with streams that have ended: for
+    queries that run on. One that ends with its input (run_once) needs none, and would wait for its timers for ever.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, empty = state.get if state.exists else (None, False)
         rows = pd.concat(list(batches)).sort_values("wall_us")
         events = []
@@ -56,9 +63,11 @@ def latched_events(samples: DataFrame, gap_us: int = 500_000) -> DataFrame:
                 events.append((key[0], "underrun", wall, 0))
             empty, last = depth == 0, wall if last is None else max(last, wall)
         state.update((last, empty))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(events, columns=["stream", "kind", "from_us", "length_us"])
 
-    return samples.groupBy("stream").applyInPandasWithState(step, EVENT, "last long, empty boolean", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("stream").applyInPandasWithState(step, EVENT, "last long, empty boolean", "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -24,10 +24,24 @@ def test_codes(spark):
 
 
 def test_rates_sizes_and_times(spark):
-    texts = spark.createDataFrame([("30000/1001",), ("25",), ("0/0",), ("x",), (None,), ("1/2/3",)], "t string")
-    assert [tuple(r) for r in texts.select(*E.rate_parts("t")).collect()] == [(30000, 1001), (25, 1), (30, 1), (30, 1), (30, 1), (30, 1)]
+    texts = ["30000/1001", "25", "0/0", "x", None, "1/2/3", "29.97", "50/2", " 24000/1001 ", "-5", "0.5", "3.", "1000000/3000001", "999999999/1000000007", "1/300000", ".", "23.976023"]
+    from fractions import Fraction
+
+    def expected(t):
+        try:
+            f = Fraction(t)
+            assert f > 0
+            f = f.limit_denominator(100_000)
+            return (f.numerator, f.denominator) if f else (30, 1)
+        except (ValueError, TypeError, AssertionError, ZeroDivisionError):
+            return 30, 1
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(*E.rate_parts("t")).collect()
+    assert [tuple(r) for r in got] == [expected(t) for t in texts]
+    assert one(spark, E.buffer_frames_rounded(F.lit(1920), F.lit(1080)), E.buffer_frames_rounded(F.lit(0), F.lit(0)), E.buffer_frames(F.lit(1920 * 1080 * 3 // 2))) == (22, 16, 21)
+    assert one(spark, E.clock_text(F.lit(0)), E.clock_text(F.lit(3599.9)), E.clock_text(F.lit(3600)), E.clock_text(F.lit(36_061))) == ("00:00", "59:59", "1:00:00", "10:01:01")
     got = one(spark, E.blocks8(F.lit(1920), F.lit(1080)), E.macroblocks(F.lit(1920), F.lit(1080)), E.even_size(F.lit(1081)), E.audio_record_bytes(F.lit(1), F.lit(6), F.lit(32)), E.clock_text(F.lit(3725.9)))
-    assert got == (48_720, 8_160, 1080, 28, "01:02:05")
+    assert got == (48_720, 8_160, 1080, 28, "1:02:05")
     assert one(spark, E.pts_micros(F.lit(30), F.lit(30000), F.lit(1001)), E.frame_at(F.lit(1_001_000), F.lit(30000), F.lit(1001), F.lit(12))) == (1_001_000, 12)
     r, g, b = one(spark, *E.yuv_to_rgb(F.lit(235), F.lit(128), F.lit(128)))
     assert r == pytest.approx(1, abs=0.01) and g == pytest.approx(1, abs=0.01) and b == pytest.approx(1, abs=0.01)

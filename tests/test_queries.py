@@ -1,9 +1,10 @@
 import pytest
 
-from framelake.plans.oracles import ORACLES
+from framelake.plans import media_oracles, oracles
 from framelake.plans.queries import QUERIES
 from tests.oracle import compare
 
+ORACLES = oracles.ORACLES | media_oracles.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
