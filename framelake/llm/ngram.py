@@ -1,8 +1,10 @@
-"""Interpolated modified Kneser-Ney bigram scoring.
+"""Interpolated modified Kneser-Ney n-gram scoring, of any order from 2 on.
 
-Counting: words are 64-bit hashes. Every task reduces its bigrams to distinct ones with
+Counting: words are 64-bit hashes. Every task reduces its n-grams to distinct ones with
 counts, deals them by context to shards (a context too frequent for one shard is dealt by the whole
-bigram), and each shard becomes sorted hash arrays in files of the shared folder. Scoring
+n-gram), and each shard becomes sorted hash arrays in files of the shared folder. What a shard holds of
+distinct n-grams is counted by their last n - 1 words, and so on down to single words: the lower orders
+count what stands before, not how often. Scoring
 tasks map those files into memory and look up whole batches of words by binary search,
 shard by shard; nothing of the model travels with the tasks but the list of its files and
 a few numbers.
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 from framelake.llm.shared import shared_dir, written
 from framelake.llm.tokens import BEGIN, END, mix, pair, text_slices, words
 
-#: Tokens that a task counts before it hands on; entries that a shard aims at.
-CHUNK, SHARD = 4 << 20, 4 << 20
+#: Words of an n-gram, unless a caller asks for more; the disk that higher orders take is in the README.
+ORDER = 2
+#: Tokens that a task counts before it hands on; entries that a shard aims at; bytes of text for one token, at least.
+CHUNK, SHARD, TOKEN_BYTES = 4 << 20, 4 << 20, 6
+#: A context of two or more words is looked at as too frequent for a shard where it is this share of a chunk.
+HEAVY = 4096
 SUMMARY = "shard int, path string, n long, total long, stats array<long>, hot binary"
 
 
@@ -152,12 +158,15 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, counts + 1
 
 
-def _previous(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each token of its text; BEGIN before the first."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate(([0], np.cumsum(counts)[:-1]))] = BEGIN
-    return before
+def _contexts(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Of each token the hashes of the 1, 2, ..., order - 1 tokens before it in its text; BEGIN stands before the first."""
+    at = np.arange(len(tokens))
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    before = lambda d: np.where(at - d >= first, tokens[np.maximum(at - d, 0)], BEGIN)
+    out = [before(1)]
+    for d in range(2, order):
+        out.append(pair(before(d), out[-1]))
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], of) -> Iterator[tuple[np.ndarray, ...]]:
@@ -193,27 +202,82 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(i)) for i, d in zip((1, 2, 3), raw))
 
 
-def _merge_words(folder: str, n_hot: int):
+def _merge_words(folder: str):
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         parts = [unpack(b.as_py()) for b in group.column("blob")]
         h, c = summed(*(np.concatenate(x) for x in zip(*parts)))
-        top = np.argsort(c)[::-1][:n_hot]
-        return _summary(shard, write_arrays(folder, f"words-{shard}", [h, c]), len(h), int(c.sum()), [], pack(h[top], c[top]))
+        return _summary(shard, write_arrays(folder, f"words-{shard}", [h, c]), len(h), int(c.sum()), [])
 
     return merge
 
 
-def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> dict:
+def _distinct(contexts: list[np.ndarray], w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(key, contexts, last word, summed count) of distinct n-grams in the order of their keys."""
+    key = pair(contexts[0], w)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    c = np.add.reduceat(c[order], at) if len(at) else c[:0]
+    return key[at], [x[order][at] for x in contexts], w[order][at], c
+
+
+def _gram_blobs(key: np.ndarray, contexts: list[np.ndarray], w: np.ndarray, c: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """(shard, blob) of n-grams: contexts are written once for all words that follow them."""
+    s = gram_shard(contexts[0], key, hot, shards)
+    order = np.lexsort((contexts[0], s))
+    contexts, w, c, s = [x[order] for x in contexts], w[order], c[order], s[order]
+
+    def blob(x: slice) -> bytes:
+        v = contexts[0][x]
+        start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        return pack(v[start], np.diff(np.append(start, len(v))).astype(np.uint64), *(y[x][start] for y in contexts[1:]), w[x], c[x])
+
+    return list(_dealt(s, shards, blob))
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, ...]:
+    v, runs, *rest, w, c = unpack(blob)
+    return (*(np.repeat(x, runs.astype(np.int64)) for x in (v, *rest)), w, c)
+
+
+def _hot_words(spark, rows: list, limit: float) -> np.ndarray:
+    """The words that occur more than ``limit`` times, from the files of counted words."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                h, c = map_arrays(path)
+                yield pa.RecordBatch.from_arrays([pa.array(h[c > limit].view(np.int64), pa.int64())], names=["h"])
+
+    files = spark.createDataFrame([(r["path"],) for r in rows], "path string")
+    return np.array([r["h"] for r in files.mapInArrow(found, "h long").collect()], np.int64).view(np.uint64)
+
+
+def _hot_contexts(texts: DataFrame, k: int, limit: float) -> np.ndarray:
+    """The contexts of k - 1 words that occur more than ``limit`` times, of those that are a HEAVY-th of some chunk."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (v,) in _chunks(batches, lambda t, n: (_contexts(t, n, k)[-1],)):
+            h, c = summed(v, np.ones(len(v), np.uint64))
+            keep = c * np.uint64(HEAVY) > len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "n"])
+
+    rows = texts.mapInArrow(found, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
+def train(docs: DataFrame, text: str = "text", folder: str | None = None, order: int = ORDER) -> dict:
     """The model of the texts of ``docs``: its files and its few numbers.
 
     Null and empty texts count as texts of no words. An empty table gives a model that
-    knows no word.
+    knows no word. Before the first word of a text stand as many marks as the order asks for.
     """
+    if order < 2:
+        raise ValueError("an n-gram has two words at least")
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
     texts = docs.select(F.col(text).alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TOKEN_BYTES // SHARD)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tokens,) in _chunks(batches, lambda t, _: (t,)):
@@ -222,84 +286,71 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> dic
             h, c = h[order], c[order]
             yield _blobs(list(_dealt(shard_of(h, partitions), partitions, lambda x: pack(h[x], c[x]))))
 
-    rows = texts.mapInArrow(words_of, "shard int, blob binary").groupBy("shard").applyInArrow(_merge_words(folder, 2 * partitions), SUMMARY).collect()
+    rows = texts.mapInArrow(words_of, "shard int, blob binary").groupBy("shard").applyInArrow(_merge_words(folder), SUMMARY).collect()
     n_tokens, n_words = sum(r["total"] for r in rows), sum(r["n"] for r in rows)
     word_files = {r["shard"]: r["path"] for r in rows}
     shards = max(partitions, -(-n_tokens // SHARD))
-    # A token that precedes more than half a shard's share of all tokens is dealt by the bigram.
+    # A context of more than half a shard's share of all tokens is dealt by the whole n-gram.
     limit = n_tokens / shards / 2
-    hot = [unpack(r["hot"]) for r in rows]
-    hot = np.sort(np.concatenate([h[c > limit] for h, c in hot] + [np.array([BEGIN], np.uint64)]))
-
-    def bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, w in _chunks(batches, lambda t, n: (_previous(t, n), t)):
-            key = pair(v, w)
-            order = np.argsort(key)
-            key = key[order]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            c = np.diff(np.append(at, len(key))).astype(np.uint64)
-            v, w, key = v[order][at], w[order][at], key[at]
-            s = bigram_shard(v, key, hot, shards)
-            order = np.lexsort((v, s))
-            v, w, c, s = v[order], w[order], c[order], s[order]
-
-            def blob(x: slice) -> bytes:
-                vs = v[x]
-                start = np.flatnonzero(np.concatenate(([True], vs[1:] != vs[:-1])))
-                return pack(vs[start], np.diff(np.append(start, len(vs))).astype(np.uint64), w[x], c[x])
-
-            yield _blobs(list(_dealt(s, shards, blob)))
-
-    def merge_bigrams(key: tuple, group: pa.Table) -> Iterator[pa.RecordBatch]:
-        shard, parts = key[0].as_py(), []
-        for b in group.column("blob"):
-            vs, runs, w, c = unpack(b.as_py())
-            parts.append((np.repeat(vs, runs.astype(np.int64)), w, c))
-        v, w, c = (np.concatenate(x) for x in zip(*parts))
-        keys = pair(v, w)
-        order = np.argsort(keys)
-        keys, v, w, c = keys[order], v[order], w[order], c[order]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, v, w, c = keys[at], v[at], w[at], np.add.reduceat(c, at)
-        one = np.uint64(1)
-        context = summed(v, c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
-        large = np.flatnonzero(c > 254)
-        arrays = [keys, np.minimum(c, 255).astype(np.uint8), large.astype(np.uint64), c[large], context[0], *(_varied(x) for x in context[1:])]
-        path = write_arrays(folder, f"bigrams-{shard}", arrays)
-        is_hot = np.isin(context[0], hot)
-        table = _summary(shard, path, len(keys), int(c.sum()), count_of_counts(c), pack(*(x[is_hot] for x in context)))
-        last, m = summed(w, np.ones(len(w), np.uint64))
-        order = np.lexsort((last, shard_of(last, partitions)))
-        last, m = last[order], m[order]
-        extra = [(s, b) for s, b in _dealt(shard_of(last, partitions), partitions, lambda x: pack(last[x], m[x]))]
-        # rows of the second kind: continuation counts, dealt to the shards of the words
-        table = pa.concat_tables([table, pa.table({"shard": pa.array([s for s, _ in extra], pa.int32()), "path": pa.nulls(len(extra), pa.string()), "n": pa.nulls(len(extra), pa.int64()), "total": pa.nulls(len(extra), pa.int64()), "stats": pa.nulls(len(extra), pa.list_(pa.int64())), "hot": pa.array([b for _, b in extra], pa.binary())})])
-        yield from table.to_batches()
-
-    def merge_all(key: tuple, group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(merge_bigrams(key, group)))
-
-    merged = written(texts.mapInArrow(bigrams_of, "shard int, blob binary").groupBy("shard").applyInArrow(merge_all, SUMMARY), "bigrams")
-    rows = merged.where("path is not null").collect()
-    bigram_files = {r["shard"]: r["path"] for r in rows}
-    n_bigrams, of_bigrams = sum(r["n"] for r in rows), [sum(r["stats"][i] for r in rows) for i in range(4)]
-    parts = [p for p in (unpack(r["hot"]) for r in rows) if len(p[0])]
-    hot_contexts = summed(*(np.concatenate(x) for x in zip(*parts))) if parts else [np.zeros(0, np.uint64)] * 5
+    begin = np.array([BEGIN], np.uint64)
+    hot = {2: np.sort(np.concatenate([_hot_words(spark, rows, limit), begin]))}
+    for k in range(3, order + 1):
+        begin = pair(np.array([BEGIN], np.uint64), begin)
+        hot[k] = np.unique(np.concatenate([_hot_contexts(texts, k, limit), begin]))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, *contexts in _chunks(batches, lambda t, n: (t, *reversed(_contexts(t, n, order)))):
+            yield _blobs(_gram_blobs(*_distinct(contexts, w, np.ones(len(w), np.uint64)), hot[order], shards))
+
+    def merge(k: int):
+        def merged(key: tuple, group: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            *contexts, w, c = (np.concatenate(x) for x in zip(*(_unblob(b.as_py()) for b in group.column("blob"))))
+            keys, contexts, w, c = _distinct(contexts, w, c)
+            one = np.uint64(1)
+            context = summed(contexts[0], c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
+            large = np.flatnonzero(c > 254)
+            arrays = [keys, np.minimum(c, 255).astype(np.uint8), large.astype(np.uint64), c[large], context[0], *(_varied(x) for x in context[1:])]
+            path = write_arrays(folder, f"grams{k}-{shard}", arrays)
+            is_hot = np.isin(context[0], hot[k])
+            table = _summary(shard, path, len(keys), int(c.sum()), count_of_counts(c), pack(*(x[is_hot] for x in context)))
+            # rows of the second kind, dealt to the shards of the next order: how many words stand before an n-gram of one word less
+            if k > 2:
+                extra = _gram_blobs(*_distinct(contexts[1:], w, np.ones(len(w), np.uint64)), hot[k - 1], shards)
+            else:
+                last, m = summed(w, np.ones(len(w), np.uint64))
+                order = np.lexsort((last, shard_of(last, partitions)))
+                last, m = last[order], m[order]
+                extra = [(s, b) for s, b in _dealt(shard_of(last, partitions), partitions, lambda x: pack(last[x], m[x]))]
+            empty = lambda kind: pa.nulls(len(extra), kind)
+            return pa.concat_tables([table, pa.table({"shard": pa.array([s for s, _ in extra], pa.int32()), "path": empty(pa.string()), "n": empty(pa.int64()), "total": empty(pa.int64()), "stats": empty(pa.list_(pa.int64())), "hot": pa.array([b for _, b in extra], pa.binary())})])
+
+        return merged
+
+    blobs, levels = texts.mapInArrow(grams_of, "shard int, blob binary"), []
+    for k in range(order, 1, -1):
+        table = written(blobs.groupBy("shard").applyInArrow(merge(k), SUMMARY), f"grams{k}")
+        rows = table.where("path is not null").collect()
+        parts = [p for p in (unpack(r["hot"]) for r in rows) if len(p[0])]
+        levels.append({
+            "k": k, "files": {r["shard"]: r["path"] for r in rows}, "distinct": sum(r["n"] for r in rows), "hot": hot[k],
+            "hot_contexts": summed(*(np.concatenate(x) for x in zip(*parts))) if parts else [np.zeros(0, np.uint64)] * 5,
+            "discounts": discounts([sum(r["stats"][i] for r in rows) for i in range(4)]),
+        })
+        blobs = table.where("path is null").select("shard", F.col("hot").alias("blob"))
 
     def merge_continuations(key: tuple, group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         h, c = map_arrays(word_files[shard])
-        last, m = summed(*(np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in group.column("hot")))))
+        last, m = summed(*(np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in group.column("blob")))))
         count = np.zeros(len(h), np.uint64)
         count[np.searchsorted(h, last)] = m
         return _summary(shard, write_arrays(folder, f"known-{shard}", [h, _varied(c), _varied(count)]), len(h), 0, count_of_counts(count))
 
-    rows = merged.where("path is null").groupBy("shard").applyInArrow(merge_continuations, SUMMARY).collect()
+    rows = blobs.groupBy("shard").applyInArrow(merge_continuations, SUMMARY).collect()
     return {
-        "words": {r["shard"]: r["path"] for r in rows}, "word_shards": partitions, "bigrams": bigram_files, "bigram_shards": shards,
-        "hot": hot, "hot_contexts": hot_contexts, "tokens": n_tokens, "vocabulary": n_words, "distinct_bigrams": n_bigrams,
-        "d2": discounts(of_bigrams), "d1": discounts([sum(r["stats"][i] for r in rows) for i in range(4)]),
-        "followed": _lower_counts(rows),
+        "order": order, "words": {r["shard"]: r["path"] for r in rows}, "word_shards": partitions, "shards": shards, "levels": levels[::-1], "tokens": n_tokens, "vocabulary": n_words,
+        "distinct_bigrams": levels[-1]["distinct"], "d1": discounts([sum(r["stats"][i] for r in rows) for i in range(4)]), "followed": _lower_counts(rows),
     }
 
 
@@ -309,7 +360,7 @@ def _lower_counts(rows) -> list[int]:
     return [n1, n2, sum(r["n"] for r in rows) - n1 - n2]
 
 
-def bigram_shard(v: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+def gram_shard(v: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
     return shard_of(np.where(hot[at] == v, key, mix(v)), n)
 
@@ -341,8 +392,8 @@ def _by_shard(keys: np.ndarray, shards: np.ndarray, files: dict[int, str]) -> It
             yield order[a:b], _arrays(path)
 
 
-def token_scores(model: dict, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(training count, log10 probability) of each token after the one before it."""
+def token_scores(model: dict, tokens: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(training count, log10 probability) of each token after those before it, from one word up to the model's order."""
     distinct, inverse = np.unique(tokens, return_inverse=True)
     c, cont = np.zeros(len(distinct)), np.zeros(len(distinct))
     for place, (h, counts, continuations) in _by_shard(distinct, shard_of(distinct, model["word_shards"]), model["words"]):
@@ -351,43 +402,47 @@ def token_scores(model: dict, tokens: np.ndarray, before: np.ndarray) -> tuple[n
     d1, d2, d3 = model["d1"]
     n1, n2, n3 = model["followed"]
     total = model["distinct_bigrams"]
-    if total:
-        lower = np.maximum(cont - np.choose(np.minimum(cont, 3).astype(int), [0, d1, d2, d3]), 0) / total
-        lower += (d1 * n1 + d2 * n2 + d3 * n3) / total / (model["vocabulary"] + 1)
-    else:
-        lower = np.full(len(distinct), 1.0)
+    if not total:
+        return c[inverse], np.zeros(len(tokens))
+    lower = np.maximum(cont - np.choose(np.minimum(cont, 3).astype(int), [0, d1, d2, d3]), 0) / total
+    lower += (d1 * n1 + d2 * n2 + d3 * n3) / total / (model["vocabulary"] + 1)
     p = lower[inverse]
-    if total:
-        e1, e2, e3 = model["d2"]
-        key = pair(before, tokens)
-        shards = bigram_shard(before, key, model["hot"], model["bigram_shards"])
-        high, back = np.zeros(len(p)), np.ones(len(p))
-        hot, *hot_sums = model["hot_contexts"]
-        if len(hot):
-            at, ok = _found(hot, before)
-            s, m1, m2, m3 = (x[at].astype(float) for x in hot_sums)
-            back = np.where(ok, (e1 * m1 + e2 * m2 + e3 * m3) / np.maximum(s, 1), 1.0)
-            high = np.where(ok, 1 / np.maximum(s, 1), 0.0)
-        for place, (keys, counts, large, true, contexts, s, m1, m2, m3) in _by_shard(key, shards, model["bigrams"]):
-            v = before[place]
-            at, ok = _found(contexts, v)
-            if len(hot):
-                ok &= ~_found(hot, v)[1]
-            sums = s[at][ok].astype(float)
-            back[place[ok]] = (e1 * m1[at][ok] + e2 * m2[at][ok] + e3 * m3[at][ok]) / sums
-            high[place[ok]] = 1 / sums
-            at, ok = _found(keys, key[place])
-            n = counts[at].astype(float) * ok
-            over = n == 255
-            if over.any():
-                n[over] = true[np.searchsorted(large, at[over].astype(np.uint64))]
-            high[place] *= np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, e1, e2, e3]), 0)
-        known = np.isin(shards, np.fromiter(model["bigrams"], np.int64))
-        high[~known] = 0
+    for level, before in zip(model["levels"], contexts):
+        high, back = _level(level, model["shards"], tokens, before)
         p = high + back * p
     return c[inverse], np.log10(p)
 
 
+def _level(level: dict, shards: int, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token what its own n-gram gives, and the weight of the order below; 0 and 1 after a context that is unknown."""
+    e1, e2, e3 = level["discounts"]
+    key = pair(before, tokens)
+    shard = gram_shard(before, key, level["hot"], shards)
+    high, back = np.zeros(len(key)), np.ones(len(key))
+    hot, *hot_sums = level["hot_contexts"]
+    if len(hot):
+        at, ok = _found(hot, before)
+        s, m1, m2, m3 = (x[at].astype(float) for x in hot_sums)
+        back = np.where(ok, (e1 * m1 + e2 * m2 + e3 * m3) / np.maximum(s, 1), 1.0)
+        high = np.where(ok, 1 / np.maximum(s, 1), 0.0)
+    for place, (keys, counts, large, true, contexts, s, m1, m2, m3) in _by_shard(key, shard, level["files"]):
+        v = before[place]
+        at, ok = _found(contexts, v)
+        if len(hot):
+            ok &= ~_found(hot, v)[1]
+        sums = s[at][ok].astype(float)
+        back[place[ok]] = (e1 * m1[at][ok] + e2 * m2[at][ok] + e3 * m3[at][ok]) / sums
+        high[place[ok]] = 1 / sums
+        at, ok = _found(keys, key[place])
+        n = counts[at].astype(float) * ok
+        over = n == 255
+        if over.any():
+            n[over] = true[np.searchsorted(large, at[over].astype(np.uint64))]
+        high[place] *= np.maximum(n - np.choose(np.minimum(n, 3).astype(int), [0, e1, e2, e3]), 0)
+    high[~np.isin(shard, np.fromiter(level["files"], np.int64))] = 0
+    return high, back
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, the columns of ``extra``, n_tokens, n_known (seen in
     training), train_tokens, base_score (smoothed unigram) and score (the model), both log10.
@@ -404,7 +459,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
         for batch in batches:
             n_tokens, n_known, base, full = [], [], [], []
             for tokens, counts in _tokens(batch.column(0)):
-                c, p = token_scores(model, tokens, _previous(tokens, counts))
+                c, p = token_scores(model, tokens, _contexts(tokens, counts, model["order"]))
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
                 n_tokens.append(counts)
                 n_known.append(np.add.reduceat((c > 0).astype(np.int64), at))

@@ -102,3 +102,53 @@ def test_rows(spark):
     empty = train(df.limit(0))
     assert [r["score"] for r in score(df, empty).collect()] == [0.0] * 4
     assert score(df.limit(0), empty).count() == 0
+
+
+class BruteOrder:
+    """Any order by recursion: the highest counts occurrences, lower ones distinct words before."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {}
+        grams = Counter()
+        for t in texts:
+            toks = ["<begin>"] * (order - 1) + tokens_of(t)
+            grams.update(tuple(toks[i - order + 1 : i + 1]) for i in range(order - 1, len(toks)))
+        self.vocabulary = len({g[-1] for g in grams})
+        for k in range(order, 0, -1):
+            self.counts[k] = grams
+            grams = Counter(g[1:] for g in grams)
+        self.d = {k: discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for k, c in self.counts.items()}
+        self.follow = {k: defaultdict(list) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.follow[k][g[:-1]].append(n)
+
+    def p(self, gram):
+        k = len(gram)
+        lower = self.p(gram[1:]) if k > 1 else 1 / (self.vocabulary + 1)
+        rest = self.follow[k].get(gram[:-1])
+        if not rest:
+            return lower
+        n, d = self.counts[k][gram], self.d[k]
+        return max(n - (0, *d)[min(n, 3)], 0) / sum(rest) + sum(d[min(m, 3) - 1] for m in rest) / sum(rest) * lower
+
+    def score(self, text):
+        toks = ["<begin>"] * (self.order - 1) + tokens_of(text)
+        return sum(math.log10(self.p(tuple(toks[i - self.order + 1 : i + 1]))) for i in range(self.order - 1, len(toks)))
+
+
+@pytest.mark.parametrize("order, shard", [(2, 4 << 20), (3, 4 << 20), (3, 500), (4, 2000)])
+def test_orders_against_brute_force(spark, monkeypatch, order, shard):
+    import framelake.llm.ngram as N
+
+    monkeypatch.setattr(N, "SHARD", shard)
+    texts = [d["text"] for d in pq.read_table("/root/testdata/sf0.001/documents.parquet").slice(0, 40).to_pylist()] + [None, "", "a b a b a b a b"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learnt, brute = df.where("doc_id < 30 or doc_id > 41"), BruteOrder([t for i, t in enumerate(texts) if i < 30 or i > 41], order)
+    model = train(learnt, order=order)
+    assert [x["distinct"] for x in model["levels"]] == [len(brute.counts[k]) for k in range(2, order + 1)]
+    got = {r["doc_id"]: r["score"] for r in score(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute.score(t), rel=1e-9), i
+    with pytest.raises(ValueError):
+        train(df, order=1)
