@@ -10,7 +10,8 @@ and verified by a banded bit-parallel edit distance.
 A key that very many lines share (templates, families of near copies) would give pairs with the square
 of their number. Its lines are set aside and joined, still whole, by finer keys: what is left
 of the line without one place. Lines that share such a key are within one edit of each other, so a
-star to the least of them links them all, and no pair is listed.
+star to the least of them links them all, and no pair is listed. That holds for one edit; for a threshold of
+more the lines of such a key meet in blocks, each with each other, and a pair of blocks only gives the links that connect its lines.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ THRESHOLD, EXACT_FROM, NEAR_FROM = 1, 10, 20
 MOST_PAIRS = 4096
 #: Characters of text, and keys, that are worked on at a time.
 SLICE, KEYS = 1 << 19, 1 << 19
+#: Keys that a shard aims at; keys of a line at a threshold of 1; lines that a block holds.
+SHARD, KEYS_EACH, BLOCK = 1 << 21, 6, 256
 SALTS = 16
 
 
@@ -210,7 +213,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, k: int, shards: int) -> DataFrame:
-    """(a, b) of line hashes that share a key; (a, null) for the lines of a key too common."""
+    """(a, b, null) of line hashes that share a key; (a, null, key) for the lines of a key too common."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -249,13 +252,15 @@ def candidate_pairs(docs: DataFrame, k: int, shards: int) -> DataFrame:
         differ = a != b
         a, b = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        alone = np.unique(np.concatenate([*(own[s:e] for s, e in zip(start[common], end[common])), np.zeros(0, np.uint64)]))
+        size = (end - start)[common]
+        alone = np.concatenate([*(own[s:e] for s, e in zip(start[common], end[common])), np.zeros(0, np.uint64)])
         left = np.concatenate([pairs[:, 0], alone])
         right = pa.concat_arrays([_signed(pairs[:, 1]), pa.nulls(len(alone), pa.int64())])
-        return pa.table({"a": _signed(left), "b": right})
+        keys_of = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), _signed(np.repeat(key[start[common]], size))])
+        return pa.table({"a": _signed(left), "b": right, "key": keys_of})
 
     blobs = docs.select("text").mapInArrow(keys, "shard int, blob binary")
-    return blobs.groupBy("shard").applyInArrow(match, "a long, b long")
+    return blobs.groupBy("shard").applyInArrow(match, "a long, b long, key long")
 
 
 def finer_links(texts: DataFrame, k: int, shards: int) -> DataFrame:
@@ -279,6 +284,43 @@ def finer_links(texts: DataFrame, k: int, shards: int) -> DataFrame:
     return texts.select("text").mapInArrow(keys, "shard int, blob binary").groupBy("shard").applyInArrow(star, "a long, b long")
 
 
+def connecting(ids: list[int], texts: list[str], side: list[int], k: int) -> tuple[list[int], list[int]]:
+    """Links that connect what pairs within ``k`` edits of the two sides (of one, if there is one) connect."""
+    root, cross, a, b = list(range(len(ids))), any(side), [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = sorted(range(len(ids)), key=lambda i: len(texts[i]))
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if len(texts[j]) - len(texts[i]) > k:
+                break
+            if (not cross or side[i] != side[j]) and find(i) != find(j) and edit_distance(texts[i], texts[j], k) <= k:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+                a.append(ids[i])
+                b.append(ids[j])
+    return a, b
+
+
+def blocked_links(texts: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) of the lines (key, h) of common keys within ``k`` edits: blocks of a key's lines, each with each."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("key", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b = connecting(*(group.column(c).to_pylist() for c in ("h", "text", "side")), k)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return own.join(texts, "h").select("key", "i", "j", "side", "h", "text").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line text) of the wanted line hashes, each read from the first text that holds it."""
     # a line is reduced to its first place before it meets the wanted ones, however often it stands
@@ -292,11 +334,11 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, lines: DataFrame, k: int = THRESHOLD) -> DataFrame:
     """Links (a, b) of line hashes that connect all distinct lines within ``k`` edits."""
-    spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() * KEYS_EACH * k * k // SHARD)
     found = written(candidate_pairs(docs, k, shards), "linepairs")
-    pairs = written(found.where("b is not null").distinct(), "linepairs")
-    common = found.where("b is null").select(F.col("a").alias("h")).distinct()
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "linepairs")
+    members = found.where("b is null").select("key", F.col("a").alias("h")).distinct()
+    common = members.select("h").distinct()
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(common).distinct()
     texts = written(texts_of(docs, lines, wanted), "linetexts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
@@ -309,7 +351,7 @@ def near_links(docs: DataFrame, lines: DataFrame, k: int = THRESHOLD) -> DataFra
 
     near = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
     if k > 1:
-        raise ValueError("lines of a very common segment are joined exactly for a threshold of 1 only")
+        return near.union(blocked_links(texts, members, k))
     return near.union(finer_links(texts.join(common, "h", "left_semi"), k, shards))
 
 

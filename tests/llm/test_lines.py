@@ -53,12 +53,12 @@ def test_keys_meet_within_the_threshold():
                 assert of(x, 1) & of(y, 1) or of(x, 2) & of(y, 0) or of(x, 0) & of(y, 2)
 
 
-def brute(docs):
+def brute(docs, k=1):
     """(removed line numbers) by id."""
     lines = [(d, i, x) for d, t in sorted(docs.items()) for i, x in enumerate((t or "").split("\n")) if t is not None and len(x) >= L.EXACT_FROM]
     distinct = sorted({x for _, _, x in lines})
     near = [x for x in distinct if len(x) >= L.NEAR_FROM]
-    pairs = [(a, b) for i, a in enumerate(near) for b in near[i + 1 :] if abs(len(a) - len(b)) <= 1 and L.edit_distance(a, b, 1) <= 1]
+    pairs = [(a, b) for i, a in enumerate(near) for b in near[i + 1 :] if abs(len(a) - len(b)) <= k and L.edit_distance(a, b, k) <= k]
     root, seen, out = roots(distinct, pairs), set(), {d: [] for d in docs}
     for d, i, x in lines:
         if root[x] in seen:
@@ -102,3 +102,16 @@ def test_query_against_brute_force(spark):
     docs = {d["doc_id"]: d["text"] for d in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
     got = {r["doc_id"]: r["removed"] for r in QUERIES["op8_line_dedup"](spark, sf).collect()}
     assert got == {i: ",".join(map(str, x)) for i, x in brute(docs).items()} and np.any([x for x in got.values()])
+
+
+def test_larger_thresholds(spark, monkeypatch):
+    """Two and three edits, with common keys met in blocks of several sizes."""
+    rng = random.Random(8)
+    texts = family(rng)[::2] + [edited(rng, t, n) for t in family(rng)[:30] for n in (2, 3)] + ["short line"]
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for k, most, block in ((2, 4096, 256), (2, 3, 16), (3, 3, 256)):
+        monkeypatch.setattr(L, "MOST_PAIRS", most)
+        monkeypatch.setattr(L, "BLOCK", block)
+        got = {r["doc_id"]: r["removed"] for r in L.line_report(df, k=k).collect()}
+        assert got == {i: ",".join(map(str, x)) for i, x in brute(docs, k).items()}, (k, most)
