@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from framelake.llm.shared import written
 
-BUCKETS = 1024
+#: Buckets of a source at least, and rows of the table for each; so a bucket is one task's sort, whatever the table.
+BUCKETS, BUCKET_ROWS = 1024, 10_000
 RESULTS = ("size", "source_size", "target", "taken", "epochs")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,7 +86,8 @@ def mix_sources(
         (-F.log(uniform(id_col, seed)) / quality).alias("key"), F.xxhash64(text).alias("tie"),
         F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(0).alias("kept"),
     )
-    base = written(base.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix")
+    buckets = max(BUCKETS, docs.count() // BUCKET_ROWS)
+    base = written(base.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")), "mix")
     buckets = base.groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.min("__source").alias("source"))
     order = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(buckets.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0))), "mixstarts")
