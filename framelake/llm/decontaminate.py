@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import text_key, written
+from framelake.llm.shared import forget, text_key, written
 from framelake.llm.tokens import NOT_WORD, pair, text_slices, words
 
 NGRAM = 3
@@ -167,7 +167,7 @@ def contaminated(
     holds, as a share of a perfect copy's score, where it is at least ``least``.
 
     The items are read in blocks of about ``block`` words, each matched in one pass over all
-    texts. Items without words, and null or empty texts, match nothing; of rows with one id
+    texts; its result is written before the next block is read, so one block is held at a time. Items without words, and null or empty texts, match nothing; of rows with one id
     the best counts, so a repeated text has one row per item. Null ids come back null; empty tables give
     an empty table.
     """
@@ -232,7 +232,11 @@ def _matched(pairs: DataFrame, seeds: Seeds, kind: str, item_kind: str, least: f
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=["id", "item_id", "score"])
 
-    return found.where("item >= 0").mapInArrow(scores, f"id {kind}, item_id {item_kind}, score double")
+    scored = written(found.where("item >= 0").mapInArrow(scores, f"id {kind}, item_id {item_kind}, score double"), "scores")
+    shared.destroy()
+    known.destroy()
+    forget(found)
+    return scored
 
 
 def _blocks(items: DataFrame, n: int, block: int) -> Iterator[Seeds]:
