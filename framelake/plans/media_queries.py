@@ -183,7 +183,7 @@ def player_lines(spark, sf_dir):
 
 
 def profile_sums(spark, sf_dir):
-    line = F.format_string("GHV_ENCODE_PROFILE motion_ms=%d.5 rd_ms=%d blocks=%d", F.col("event_id") % 100, F.col("event_id") % 7, F.col("user_id") % 50)
+    line = F.format_string("PROFILE motion_ms=%d.5 rd_ms=%d blocks=%d", F.col("event_id") % 100, F.col("event_id") % 7, F.col("user_id") % 50)
     threads = A.table(spark, sf_dir, "events").select("event_type", reports.key_values(line).alias("profile"))
     return reports.summed_profile(threads, ["event_type"])
 
