@@ -116,6 +116,15 @@ def join_hot(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int
     return rows.join(hot, on).unionByName(rows.join(F.broadcast(side.where(F.col(n) > most).select(*on)), on, "left_anti").join(side.where(F.col(n) <= most), on))
 
 
+def shuffled(rows: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` by a shuffle and a sort of both, whatever Spark takes their sizes to be.
+
+    It counts what an ``explode`` makes as no larger than what goes in, and a packed file as what it takes on disk; a
+    side that is many times its estimate would be gathered on the driver for a broadcast.
+    """
+    return rows.hint("merge").join(side, on, how)
+
+
 def first_rows(docs: DataFrame, first: DataFrame, text: str) -> DataFrame:
     """One row of ``docs`` of each group: ``first`` has (group, first), first a struct (none, id, dh, rh) of a row's id
     (none: whether it is null), text hash and row key; a group's least counts, and of equal rows one."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
-from framelake.llm.shared import first_rows, row_key, written
+from framelake.llm.shared import first_rows, row_key, shuffled, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -78,7 +78,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     ball = F.expr("explode(concat(array(v), transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))))")
     probes = entries.select("fp", "seg", ball.alias("v"))
     found = written(
-        probes.join(rows, ["seg", "v"]).where("not (n = 1 and lo = fp)").select("fp", "n", "lo", "hi"), "probes"
+        shuffled(probes, rows, ["seg", "v"]).where("not (n = 1 and lo = fp)").select("fp", "n", "lo", "hi"), "probes"
     )
     distance = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     small = (
@@ -93,7 +93,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     )
     centre = balls.groupBy("z").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     large = (
-        balls.join(centre, "z")
+        shuffled(balls, centre, "z")
         .where((F.col("fp") != F.col("lo")) & (distance("fp", "lo") <= 2))
         .select(F.col("fp").alias("src"), F.col("lo").alias("dst"))
     )
@@ -109,17 +109,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated; further columns are ignored; an empty table gives an empty table.
     """
     prints = written(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle, ["id"]), "fps")
-    named = _components(prints).join(prints.groupBy("fp").agg(F.min("id").alias("first")), "fp")
+    named = shuffled(_components(prints), prints.groupBy("fp").agg(F.min("id").alias("first")), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = shuffled(named, least, "component").select("fp", "component_id")
+    return shuffled(prints, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _components(prints: DataFrame) -> DataFrame:
     """(fp, component) of each distinct fingerprint: the least fingerprint that links reach."""
     distinct = written(prints.select("fp").distinct(), "distinct")
     groups = connected_components(fingerprint_links(distinct))
-    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return shuffled(distinct, groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -129,4 +129,4 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     at = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("dh"), row_key(docs).alias("rh"), F.col(text).alias("text"))
     prints = written(with_fingerprints(at, "text", shingle, ["id", "dh", "rh"]), "fps")
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "dh", "rh")).alias("first"))
-    return first_rows(docs, _components(prints).join(first, "fp").select(F.col("component").alias("group"), "first"), text)
+    return first_rows(docs, shuffled(_components(prints), first, "fp").select(F.col("component").alias("group"), "first"), text)

@@ -5,6 +5,7 @@ import xxhash
 
 from framelake.llm.components import connected_components
 from framelake.llm.queries import QUERIES
+from framelake.llm.shared import written
 from framelake.llm.simhash import fingerprint, fingerprint_links, simhash_dedup, simhash_groups
 
 SCHEMA = "doc_id long, text string, component_id string, fp string"
@@ -73,3 +74,23 @@ def test_query_against_brute_force(spark):
     pairs = [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2]
     want = roots(fps, pairs)
     assert {k: (r["fingerprint"], r["component_id"]) for k, r in got.items()} == {k: (f"{fps[k]:016x}", want[k]) for k in fps}
+
+
+def test_no_table_that_grows_goes_through_the_driver(spark, monkeypatch):
+    """Where all sizes are taken to be small: an explode is taken to be as large as what goes in."""
+    plans = []
+
+    def ran(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    rng = random.Random(5)
+    bases = [rng.getrandbits(63) for _ in range(300)]
+    fps = {b ^ 1 << rng.randrange(63) for b in bases for _ in range(4)}
+    monkeypatch.setattr("framelake.llm.simhash.written", ran)
+    links = fingerprint_links(spark.createDataFrame([(v,) for v in fps], "fp long"))
+    ran(links, "links")
+    docs = spark.createDataFrame([(i, f"a text of word{i % 50} and its own end") for i in range(200)], "doc_id long, text string")
+    ran(simhash_groups(docs), "groups")
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
