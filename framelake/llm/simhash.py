@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
@@ -35,11 +35,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), 1 << 16):
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)])]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(0, dtype=np.int64)
+        ones += _ones(np.array(hashes, np.uint64))
     return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set that is given as 64-bit hashes, as a signed integer; that of the empty set is zero."""
+    ones = sum((_ones(hashes[i : i + (1 << 16)]) for i in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``fp``, the fingerprint's 64 bits as a long."""
     kept = docs.select(*(keep or []), F.col(text).alias("__text"))
@@ -55,6 +65,41 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, kee
     return kept.mapInArrow(batches, schema)
 
 
+def _probed(fps: DataFrame, segments: int) -> DataFrame:
+    """(fp, n, lo, hi) of the table rows that each fingerprint meets with the values of the Hamming balls of radius 1
+    around its segments: a row's size, smallest and largest member. Rows that hold the fingerprint alone are left out."""
+    bounds = [64 * i // segments for i in range(segments + 1)]
+    part = lambda a, b: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long"))
+    cut = [F.struct(F.lit(i).alias("seg"), F.lit(b - a).alias("w"), part(a, b).alias("v")) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    entries = fps.select("fp", F.explode(F.array(*cut)).alias("e")).select("fp", "e.seg", "e.w", "e.v")
+    rows = entries.groupBy("seg", "v").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    ball = F.expr("explode(concat(array(v), transform(sequence(0, w - 1), i -> v ^ shiftleft(1L, i))))")
+    probes = entries.select("fp", "seg", ball.alias("v"))
+    return written(
+        shuffled(probes, rows, ["seg", "v"]).where("not (n = 1 and lo = fp)").select("fp", "n", "lo", "hi"), "probes"
+    )
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def segments_for(n: int) -> int:
+    """How many segments, 2 to 4, leave each about eight values or more for one of ``n`` fingerprints."""
+    return min(4, max(2, 64 // (n.bit_length() + 3)))
+
+
+def near_fingerprints(fps: DataFrame, segments: int) -> DataFrame:
+    """Pairs (src, dst) of distinct fingerprints ``fp`` at less than twice as many differing bits as there are
+    segments: such two differ by at most one bit in one of them.
+
+    Every such pair that meets in a table row of up to two members; fingerprints that meet larger rows are connected
+    at 2 or fewer bits, as in ``fingerprint_links``. So pairs don't grow with the square of a row; who needs all of
+    those at more bits has to find the rest another way.
+    """
+    return _linked(_probed(fps, segments), 2 * segments - 1)
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (src, dst) that connect the distinct fingerprints ``fp`` at 2 or fewer
     differing bits: every such pair is linked directly or through others.
@@ -69,22 +114,16 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     two of those are within 2 bits exactly if both are within one bit of some 64-bit value, so each is
     filed under its 65 values of the full ball and linked to the smallest fingerprint there.
     """
-    segment = F.explode(F.array(
-        F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned("fp", 32).alias("v")),
-        F.struct(F.lit(1).alias("seg"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")),
-    ))
-    entries = fps.select("fp", segment.alias("e")).select("fp", "e.seg", "e.v")
-    rows = entries.groupBy("seg", "v").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    ball = F.expr("explode(concat(array(v), transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))))")
-    probes = entries.select("fp", "seg", ball.alias("v"))
-    found = written(
-        shuffled(probes, rows, ["seg", "v"]).where("not (n = 1 and lo = fp)").select("fp", "n", "lo", "hi"), "probes"
-    )
-    distance = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return _linked(_probed(fps, 2), 2)
+
+
+def _linked(found: DataFrame, reach: int) -> DataFrame:
+    """Links (src, dst) at ``reach`` or fewer bits of what the probes found in rows of up to two members, and at 2 or
+    fewer bits, through full balls of radius 1, of the fingerprints that met larger rows."""
     small = (
         found.where("n <= 2")
         .select("fp", F.explode(F.array("lo", "hi")).alias("other"))
-        .where((F.col("fp") != F.col("other")) & (distance("fp", "other") <= 2))
+        .where((F.col("fp") != F.col("other")) & (_distance("fp", "other") <= reach))
         .select(F.col("fp").alias("src"), F.col("other").alias("dst"))
     )
     apart = found.where("n > 2").select("fp").distinct()
@@ -94,7 +133,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     centre = balls.groupBy("z").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     large = (
         shuffled(balls, centre, "z")
-        .where((F.col("fp") != F.col("lo")) & (distance("fp", "lo") <= 2))
+        .where((F.col("fp") != F.col("lo")) & (_distance("fp", "lo") <= 2))
         .select(F.col("fp").alias("src"), F.col("lo").alias("dst"))
     )
     return small.union(large).distinct()

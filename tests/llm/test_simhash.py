@@ -6,7 +6,7 @@ import xxhash
 from framelake.llm.components import connected_components
 from framelake.llm.queries import QUERIES
 from framelake.llm.shared import written
-from framelake.llm.simhash import fingerprint, fingerprint_links, simhash_dedup, simhash_groups
+from framelake.llm.simhash import fingerprint, fingerprint_links, near_fingerprints, segments_for, simhash_dedup, simhash_groups
 
 SCHEMA = "doc_id long, text string, component_id string, fp string"
 
@@ -94,3 +94,21 @@ def test_no_table_that_grows_goes_through_the_driver(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a text of word{i % 50} and its own end") for i in range(200)], "doc_id long, text string")
     ran(simhash_groups(docs), "groups")
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_near_fingerprints_against_brute_force(spark):
+    rng = random.Random(9)
+    bits = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    values = [rng.getrandbits(64) for _ in range(60)]
+    values += [v ^ sum(1 << i for i in rng.sample(range(64), k % 10)) for k, v in enumerate(values)]
+    family = {values[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in set(values[1:60] + values[61:])]
+    alone = spark.createDataFrame([(v,) for v in signed], "fp long")
+    assert [segments_for(n) for n in (0, 100, 8191, 8192, 235_000, 15_000_000, 1 << 40)] == [4, 4, 4, 3, 3, 2, 2]
+    for segments in (2, 3, 4):
+        got = {(max(r), min(r)) for r in near_fingerprints(alone, segments).collect()}
+        assert got == {(a, b) for a in signed for b in signed if a > b and bits(a, b) < 2 * segments}
+        # rows of many members: what connects them, not all pairs
+        many = [v - (1 << 64) if v >> 63 else v for v in family]
+        got = [tuple(r) for r in near_fingerprints(spark.createDataFrame([(v,) for v in many], "fp long"), segments).collect()]
+        assert all(bits(*r) < 2 * segments for r in got) and len(set(roots(many, got).values())) == 1
