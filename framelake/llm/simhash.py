@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.components import connected_components
@@ -65,21 +65,38 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, kee
     return kept.mapInArrow(batches, schema)
 
 
-def _probed(fps: DataFrame, segments: int) -> DataFrame:
-    """(fp, n, lo, hi) of the table rows that each fingerprint meets with the values of the Hamming balls of radius 1
-    around its segments: a row's size, smallest and largest member. Rows that hold the fingerprint alone are left out."""
+#: The values of the Hamming ball of radius 1 around a segment ``v`` of ``w`` bits.
+BALL = "explode(concat(array(v), transform(sequence(0, w - 1), i -> v ^ shiftleft(1L, i))))"
+
+
+def _entries(fps: DataFrame, segments: int) -> DataFrame:
+    """(fp, seg, w, v): the segments of each fingerprint, their widths and values."""
     bounds = [64 * i // segments for i in range(segments + 1)]
     part = lambda a, b: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long"))
     cut = [F.struct(F.lit(i).alias("seg"), F.lit(b - a).alias("w"), part(a, b).alias("v")) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-    entries = fps.select("fp", F.explode(F.array(*cut)).alias("e")).select("fp", "e.seg", "e.w", "e.v")
+    return fps.select("fp", F.explode(F.array(*cut)).alias("e")).select("fp", "e.seg", "e.w", "e.v")
+
+
+def _probed(fps: DataFrame, segments: int) -> DataFrame:
+    """(fp, n, lo, hi) of the table rows that each fingerprint meets with the values of the Hamming balls of radius 1
+    around its segments: a row's size, smallest and largest member. Rows that hold the fingerprint alone are left out."""
+    entries = _entries(fps, segments)
     rows = entries.groupBy("seg", "v").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    ball = F.expr("explode(concat(array(v), transform(sequence(0, w - 1), i -> v ^ shiftleft(1L, i))))")
-    probes = entries.select("fp", "seg", ball.alias("v"))
+    probes = entries.select("fp", "seg", F.expr(BALL).alias("v"))
     return written(
         shuffled(probes, rows, ["seg", "v"]).where("not (n = 1 and lo = fp)").select("fp", "n", "lo", "hi"), "probes"
     )
 
 
+def _filed(fps: DataFrame) -> DataFrame:
+    """As ``_probed`` for fingerprints that differ by up to two bits in a 32-bit half: each is filed under all values of
+    the balls of radius 1 around its halves, and two such balls share a value. A row of two is given once."""
+    row = Window.partitionBy("seg", "v")
+    filed = _entries(fps, 2).select("fp", "seg", F.expr(BALL).alias("v"))
+    rows = filed.select("fp", F.count("*").over(row).alias("n"), F.min("fp").over(row).alias("lo"), F.max("fp").over(row).alias("hi"))
+    return written(rows.where("n > 2 or (n = 2 and fp = lo)"), "probes")
+
+
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -93,11 +110,21 @@ def near_fingerprints(fps: DataFrame, segments: int) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints ``fp`` at less than twice as many differing bits as there are
     segments: such two differ by at most one bit in one of them.
 
+    The values of three segments are so few (2^21) that up to eight unrelated fingerprints meet each one in its balls, a
+    number that grows with the table. At that reach, up to 5 bits, two differ by at most two bits in one of two halves
+    as well, so they meet in tables of halves, with as many entries and 2^32 values. Members of larger rows there, which
+    are wider, are few and go to the tables of three segments by themselves. Four segments are for small tables.
+
     Every such pair that meets in a table row of up to two members; fingerprints that meet larger rows are connected
     at 2 or fewer bits, as in ``fingerprint_links``. So pairs don't grow with the square of a row; who needs all of
     those at more bits has to find the rest another way.
     """
-    return _linked(_probed(fps, segments), 2 * segments - 1)
+    reach = 2 * segments - 1
+    if segments != 3:
+        return _linked(_probed(fps, segments), reach)
+    met = _filed(fps)
+    apart = written(met.where("n > 2").select("fp").distinct(), "apart")
+    return _pairs(met, reach).union(_linked(_probed(apart, segments), reach)).distinct()
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -117,15 +144,19 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return _linked(_probed(fps, 2), 2)
 
 
-def _linked(found: DataFrame, reach: int) -> DataFrame:
-    """Links (src, dst) at ``reach`` or fewer bits of what the probes found in rows of up to two members, and at 2 or
-    fewer bits, through full balls of radius 1, of the fingerprints that met larger rows."""
-    small = (
+def _pairs(found: DataFrame, reach: int) -> DataFrame:
+    """Links (src, dst) at ``reach`` or fewer bits of what the probes found in rows of up to two members."""
+    return (
         found.where("n <= 2")
         .select("fp", F.explode(F.array("lo", "hi")).alias("other"))
         .where((F.col("fp") != F.col("other")) & (_distance("fp", "other") <= reach))
         .select(F.col("fp").alias("src"), F.col("other").alias("dst"))
     )
+
+
+def _linked(found: DataFrame, reach: int) -> DataFrame:
+    """Links (src, dst) at ``reach`` or fewer bits of what the probes found in rows of up to two members, and at 2 or
+    fewer bits, through full balls of radius 1, of the fingerprints that met larger rows."""
     apart = found.where("n > 2").select("fp").distinct()
     balls = apart.select(
         "fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))").alias("z")
@@ -136,7 +167,7 @@ def _linked(found: DataFrame, reach: int) -> DataFrame:
         .where((F.col("fp") != F.col("lo")) & (_distance("fp", "lo") <= 2))
         .select(F.col("fp").alias("src"), F.col("lo").alias("dst"))
     )
-    return small.union(large).distinct()
+    return _pairs(found, reach).union(large).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:

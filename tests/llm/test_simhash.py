@@ -6,7 +6,7 @@ import xxhash
 from framelake.llm.components import connected_components
 from framelake.llm.queries import QUERIES
 from framelake.llm.shared import written
-from framelake.llm.simhash import fingerprint, fingerprint_links, near_fingerprints, segments_for, simhash_dedup, simhash_groups
+from framelake.llm.simhash import _linked, _probed, fingerprint, fingerprint_links, near_fingerprints, segments_for, simhash_dedup, simhash_groups
 
 SCHEMA = "doc_id long, text string, component_id string, fp string"
 
@@ -112,3 +112,39 @@ def test_near_fingerprints_against_brute_force(spark):
         many = [v - (1 << 64) if v >> 63 else v for v in family]
         got = [tuple(r) for r in near_fingerprints(spark.createDataFrame([(v,) for v in many], "fp long"), segments).collect()]
         assert all(bits(*r) < 2 * segments for r in got) and len(set(roots(many, got).values())) == 1
+
+
+def test_unrelated_fingerprints_do_not_meet(spark, monkeypatch):
+    """What the tables return doesn't grow with the square of the table, and pairs at the full reach are found."""
+    made = []
+
+    def counted(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr("framelake.llm.simhash.written", counted)
+    rng = random.Random(11)
+    values = [rng.getrandbits(64) for _ in range(20_000)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    # 5 bits, of which 0 to 5 in the lower half
+    near = [v ^ sum(1 << i for i in rng.sample(range(32), k % 6) + rng.sample(range(32, 64), 5 - k % 6)) for k, v in enumerate(values[:60])]
+    signed += [v - (1 << 64) if v >> 63 else v for v in near]
+    assert segments_for(len(signed)) == 3
+    got = {frozenset(r) for r in near_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), 3).collect()}
+    assert got == {frozenset((signed[k], signed[20_000 + k])) for k in range(60)}
+    assert sum(n for name, n in made if name == "probes") < 3000
+
+
+def test_families_keep_what_three_segments_find(spark):
+    """Larger rows of the tables of halves hide no pair that a table of three segments gives."""
+    rng = random.Random(13)
+    values = set()
+    for _ in range(200):
+        base = rng.getrandbits(64)
+        values |= {base ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(4))) for _ in range(4)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    want = {frozenset(r) for r in _linked(_probed(fps, 3), 5).collect()}
+    got = {frozenset(r) for r in near_fingerprints(fps, 3).collect()}
+    assert len(want) > 300 and want <= got
