@@ -1,12 +1,17 @@
 """Exact-integer scalar functions as Spark columns.
 
 All arguments are columns (or ints, where a parameter says so). Scalar expressions are compiled with the
-query; array lambdas, where a function uses them, are interpreted by Spark. Division truncates toward zero unless a name says otherwise, and nothing relies on
+query; array lambdas, where a function uses them, are interpreted by Spark; ``rate_parts`` reads texts as Arrow batches. Division truncates toward zero unless a name says otherwise, and nothing relies on
 overflow, which raises under ANSI mode.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,48 +197,37 @@ def buffer_frames_rounded(w, h) -> Column:
 
 
 LARGEST_DENOMINATOR = 100_000
-
-
-def _limited(num: Column, den: Column) -> Column:
-    """The struct (num, den) nearest to a fraction with a denominator of LARGEST_DENOMINATOR at most: its convergents, and
-    the last step between two of them."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    start = F.struct(zero.alias("p0"), one.alias("q0"), one.alias("p1"), zero.alias("q1"), num.alias("n"), den.alias("d"), F.lit(False).alias("over"))
-
-    def step(s: Column, _: Column) -> Column:
-        a = idiv(s["n"], F.greatest(s["d"], one))
-        q = s["q0"] + a * s["q1"]
-        over = s["over"] | (s["d"] == 0) | (q > LARGEST_DENOMINATOR)
-        on = lambda name, v: F.when(over, s[name]).otherwise(v).alias(name)
-        return F.struct(on("p0", s["p1"]), on("q0", s["q1"]), on("p1", s["p0"] + a * s["p1"]), on("q1", q), on("n", s["d"]), on("d", s["n"] - a * s["d"]), over.alias("over"))
-
-    def last(s: Column) -> Column:
-        k = idiv(F.lit(LARGEST_DENOMINATOR) - s["q0"], F.greatest(s["q1"], one))
-        p, q = s["p0"] + k * s["p1"], s["q0"] + k * s["q1"]
-        near = 2 * s["d"] * q <= den
-        return F.struct(F.when(near, s["p1"]).otherwise(p).alias("num"), F.when(near, s["q1"]).otherwise(q).alias("den"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, last)
-    return F.when(den <= LARGEST_DENOMINATOR, F.struct(num.alias("num"), den.alias("den"))).otherwise(found)
-
-
-def rate_parts(text) -> list[Column]:
-    """Numerator and denominator of a rate, "num/den", "num" or a decimal, reduced, with a denominator of 100,000 at most; 30 and 1
-    where it is no positive rate."""
-    text = F.trim(col(text))
-    part = lambda i: F.nullif(F.regexp_extract(text, r"^\+?(?:([0-9]{1,18})/([0-9]{1,18})|([0-9]{0,12})(?:\.([0-9]{0,6}))?)$", i), F.lit(""))
-    whole, places = F.coalesce(part(3), F.lit("")), F.coalesce(part(4), F.lit(""))
-    num = F.coalesce(part(1), F.nullif(F.concat(whole, places), F.lit(""))).try_cast("long")
-    den = F.when(part(1).isNotNull(), part(2).try_cast("long")).otherwise(F.pow(F.lit(10), F.length(places)).cast("long"))
-    fine = F.coalesce((num > 0) & (den > 0), F.lit(False))
-    euclid = F.struct(num.alias("a"), den.alias("b"))
-    turn = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1).cast("long"))).alias("b")))
-    # the remainder halves at least every second step
-    most = F.ceil(2 * F.log2(F.greatest(F.least(num, den), F.lit(1)).cast("double"))).cast("int") + 3
-    common = F.when(fine, F.aggregate(F.sequence(F.lit(1), most), euclid, turn, lambda s: s["a"]))
-    found = F.when(fine, _limited(idiv(num, common), idiv(den, common)))
-    found = F.when(found["num"] > 0, found)
-    return [F.coalesce(found["num"], F.lit(30).cast("long")), F.coalesce(found["den"], F.lit(1).cast("long"))]
+RATE = re.compile(r"\+?(?:([0-9]+)/([0-9]+)|([0-9]*)(?:\.([0-9]*))?)")
+
+
+def rate_parts(text, largest: int | None = LARGEST_DENOMINATOR) -> list[Column]:
+    """Numerator and denominator of a rate, "num/den", "num" or a decimal, reduced, with a denominator of ``largest`` at most (None: as it
+    stands); 30 and 1 where it is no positive rate. Terms may have any number of digits that Python's int takes; a result
+    that no long holds counts as no rate. Texts are read as Arrow batches: Euclid's steps as array lambdas would be interpreted, once for each use."""
+
+    def terms(text: str | None) -> tuple[int, int]:
+        none, found = (30, 1), RATE.fullmatch(text.strip()) if text else None
+        if not found:
+            return none
+        num, den, whole, places = found.groups()
+        try:
+            num, den = (int(whole + (places or "")), 10 ** len(places or "")) if num is None else (int(num), int(den))
+        except ValueError:
+            return none
+        if not (num and den):
+            return none
+        common = math.gcd(num, den)
+        num, den = num // common, den // common
+        if largest and den > largest:
+            num, den = Fraction(num, den).limit_denominator(largest).as_integer_ratio()
+        return (num, den) if num and max(num, den) < 1 << 63 else none
+
+    def parts(texts: pa.Array) -> pa.Array:
+        found = [terms(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=["num", "den"])
+
+    found = F.arrow_udf(parts, "num long, den long")(col(text))
+    return [found["num"], found["den"]]
 
 
 def even_size(v) -> Column:

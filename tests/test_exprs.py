@@ -47,6 +47,15 @@ def test_rates_sizes_and_times(spark):
     assert r == pytest.approx(1, abs=0.01) and g == pytest.approx(1, abs=0.01) and b == pytest.approx(1, abs=0.01)
 
 
+def test_rates_of_many_digits(spark):
+    texts = ["50.1234567", "29.970029970029970029970029970", "1234567890123.5", "9223372036854775807/2", "3" + "0" * 30 + "/1" + "0" * 30, "9223372036854775808", "1/300000", "31.1199999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    limited, exact = (rows.select(*E.rate_parts("t", **how)).collect() for how in ({}, {"largest": None}))
+    assert [tuple(r) for r in limited] == [(5_009_639, 99_946), (30_000, 1001), (2_469_135_780_247, 2), ((1 << 63) - 1, 2), (3, 1), (30, 1), (30, 1), (778, 25)]
+    # exactly, 27 places need a denominator that no long holds
+    assert [tuple(r) for r in exact] == [(501_234_567, 10_000_000), (30, 1), (2_469_135_780_247, 2), ((1 << 63) - 1, 2), (3, 1), (30, 1), (1, 300_000), (311_199_999, 10_000_000)]
+
+
 def test_scan_order_and_steps():
     assert blocks.SCAN[:8] == [0, 1, 8, 16, 9, 2, 3, 10] and sorted(blocks.SCAN) == list(range(64)) and blocks.SCAN[-3:] == [55, 62, 63]
     assert E.transform_steps(78)[0] == 40 and E.transform_steps(100, True)[0] == 10 and min(E.transform_steps(100)) >= 1
